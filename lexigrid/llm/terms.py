@@ -70,7 +70,7 @@ def _local_sums(scratch: str):  # noqa: ANN202
 
         con = _connection(place := _scratch(scratch))
         con.register("rows_in", pa.RecordBatchReader.from_batches(first.schema, again()))
-        sums = con.execute("SELECT term, CAST(sum(occurrences) AS BIGINT) AS occurrences, count(*) AS records FROM rows_in GROUP BY term")
+        sums = con.sql("SELECT term, CAST(sum(occurrences) AS BIGINT) AS occurrences, count(*) AS records FROM rows_in GROUP BY term")
         yield from _plain(sums)
         con.close()
         _remove(place)
@@ -105,7 +105,7 @@ def _partition_sums(scratch: str):  # noqa: ANN202
                 paths = [fs.FileSystem.from_uri(f)[1] for f in files]
                 con = _connection(place := _scratch(scratch))
                 con.register("rows_in", ds.dataset(paths, format="parquet", filesystem=system).scanner(columns=["term", "occurrences", "records"], batch_size=50_000).to_reader())
-                yield from _plain(con.execute("SELECT term, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(records) AS BIGINT) AS records FROM rows_in GROUP BY term"))
+                yield from _plain(con.sql("SELECT term, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(records) AS BIGINT) AS records FROM rows_in GROUP BY term"))
                 con.close()
                 _remove(place)
 
