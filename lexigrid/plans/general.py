@@ -25,7 +25,7 @@ def p6_records(spark: SparkSession, sf: str) -> DataFrame:
     return _endings(spark, sf).where("reason IS NULL").select("line_id", *(f"`{n}`" for n in NOUN_ENDING_FIELDS))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p6_found, p6_records)}
+queries = {f.__name__: f for f in (p3_found, p6_found, p6_records)}
 
 
 def _values(table_name: str, field: str, delimiters: str) -> str:
@@ -59,7 +59,7 @@ WITH parsed AS (
 )
 """
 
-ORACLES = {
+oracles = {
     "p3_found": " UNION ALL ".join(_values(*x) for x in (("locations", "variant", ",;|/"), ("undecomposable_composite_words", "combination", ",;|+{}"), ("roots_schneider", "source", ",;|/&+"), ("roots_schneider", "cf", ",;|"))),
     "p6_found": _FIELDS + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p6_records": _FIELDS + "SELECT line_id, " + ", ".join(f'f[{i}] AS "{n}"' for i, n in enumerate(NOUN_ENDING_FIELDS, 1)) + " FROM judged WHERE reason IS NULL",
