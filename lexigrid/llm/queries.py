@@ -83,7 +83,7 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncated.truncation_rates(truncated.judged(table(spark, sf, "documents")))
 
 
-QUERIES: dict[str, Query] = {
+queries: dict[str, Query] = {
     f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_terms, p4_found, p4_words, p5_found, p5_forms, p7_ids, p8_mix, p8_shares, p9_found, p9_rates)
 }
 
@@ -99,7 +99,7 @@ WITH usable AS (
 """
 
 #: The other queries have no SQL: they are tested against brute force, a round trip or cases made by hand.
-ORACLES: dict[str, str] = {
+oracles: dict[str, str] = {
     "p4_found": _RANKED + "SELECT word_id, cand_id FROM ranked WHERE pos <= 3",
     "p4_words": _RANKED
     + r"""
