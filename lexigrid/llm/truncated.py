@@ -33,6 +33,8 @@ OPTIONAL = 0.4
 #: Part of a piece's occurrences at a word's end from which on it may end a word that is found nowhere else.
 ENDING = 0.35
 SALTS = 8
+#: Blanks at the ends of a text.
+BLANKS = " \t\n\v\f\r\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def folded(text: Column) -> Column:
@@ -41,7 +43,7 @@ def folded(text: Column) -> Column:
     out = F.regexp_replace(out, r"[\p{Zs}\t\r]", " ")
     wide = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
     pairs = {**wide, **_pairs(LATIN_LOOKALIKES), **PLAIN}
-    return F.regexp_replace(F.translate(out, "".join(pairs), "".join(pairs.values())), r"^\s+|\s+$", "")
+    return F.trim(F.regexp_replace(F.translate(out, "".join(pairs), "".join(pairs.values())), "  +", " "), F.lit(BLANKS))
 
 
 def _masked(word: Column) -> Column:
@@ -76,8 +78,8 @@ def _words(docs: DataFrame) -> DataFrame:
 def _limits(docs: DataFrame) -> DataFrame:
     """(source, unit, length) of the lengths, in characters or bytes, at which the texts of a source pile up."""
     counts = None
-    for unit, size in (("char", F.length("t")), ("byte", F.octet_length("t"))):
-        one = docs.groupBy("source", size.alias("length")).agg(F.count("*").alias("n")).withColumn("unit", F.lit(unit))
+    for unit, size in (("char", F.col("chars")), ("byte", F.col("bytes"))):
+        one = docs.groupBy("source", size.cast("int").alias("length")).agg(F.count("*").alias("n")).withColumn("unit", F.lit(unit))
         counts = one if counts is None else counts.unionByName(one)
     near = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-NEAR, NEAR)
     others = (F.sum("n").over(near) - F.col("n")) / (2 * NEAR)
@@ -104,7 +106,9 @@ def judged(documents: DataFrame) -> DataFrame:
     a source of its own. The reasons: open (a bracket or quote of the last line isn't closed), joint (it ends with a comma or
     the like), number, limit, no-mark (all other texts of the source end with one), prefix, never-closes, shape.
     """
-    base = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.regexp_replace("text", r"\s+$", "").alias("t"), folded(F.col("text")).alias("f"))
+    bare = F.rtrim(F.col("text"), F.lit(BLANKS))
+    # Written, as three passes read it.
+    base = cut(documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length(bare).alias("chars"), F.octet_length(bare).alias("bytes"), folded(F.col("text")).alias("f")))
     docs = base.where("f <> ''")
     counted = cut(_words(docs).groupBy("before", "word", "full", "last").agg(F.count("*").alias("n"), F.sum(F.col("closed").cast("long")).alias("closed")))
     inner = F.when(~F.col("last"), F.col("n")).otherwise(0)
@@ -115,6 +119,7 @@ def judged(documents: DataFrame) -> DataFrame:
 
     # The ends of the texts.
     line = F.substring_index("f", "\n", -1)
+    end, two_words = F.substring("f", -1, 1), F.substring_index(F.ltrim(line), " ", -2)
     opened = F.lit(False)
     for a, b in ("()", "“”", "«»", "{}", "[]"):
         opened = opened | (F.locate(a, F.reverse(line)) > 0) & ((F.locate(b, F.reverse(line)) == 0) | (F.locate(a, F.reverse(line)) < F.locate(b, F.reverse(line))))
@@ -122,13 +127,13 @@ def judged(documents: DataFrame) -> DataFrame:
         docs.select(
             "doc_id",
             "source",
-            F.length("t").alias("chars"),
-            F.octet_length("t").alias("bytes"),
-            F.when(opened, "open").when(F.col("f").rlike(r"[,;:–/—-]$"), "joint").alias("reason"),
-            F.col("f").rlike(r"\p{Nd}\.$").alias("number"),
-            F.col("f").rlike(f"[{MARK}{CLOSER}{EMOJI}]$").alias("marked"),
-            F.regexp_extract("f", r"(?:^|\n|[^ \n]+ +|\n *)([^ \n]+)$", 1).alias("x"),
-            F.regexp_extract("f", r"([^ \n]+) +[^ \n]+$", 1).alias("p"),
+            "chars",
+            "bytes",
+            F.when(opened, "open").when(end.rlike("[,;:–/—-]"), "joint").alias("reason"),
+            F.substring("f", -2, 2).rlike(r"\p{Nd}\.").alias("number"),
+            end.rlike(f"[{MARK}{CLOSER}{EMOJI}]").alias("marked"),
+            F.substring_index(two_words, " ", -1).alias("x"),
+            F.when(two_words.contains(" "), F.substring_index(two_words, " ", 1)).otherwise("").alias("p"),
         )
         .withColumn("bare", F.regexp_replace("x", _MARKS_AT_END, ""))
         .withColumn("before", F.when((F.col("p") == "") | F.col("p").rlike(r"[^\s]" + _MARKS_AT_END), "^").otherwise(_masked(F.col("p"))))
