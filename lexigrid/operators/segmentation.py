@@ -1,0 +1,95 @@
+"""Right-to-left splitting of words into a root and suffixes over a small lexicon."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: What a stem loses before the suffix is attached: nothing, or its last consonant.
+ACTIONS = ("neutral", "deletion")
+CONSONANTS = "ptkqmnlsgvrj"
+
+
+@dataclass(frozen=True)
+class Suffix:
+    """form is the surface; it attaches to a category and results in one (an ending results in the empty category)."""
+
+    form: str
+    canonical: str
+    identifier: str
+    attaches_to: str
+    results_in: str
+    action: str = "neutral"
+
+
+@dataclass(frozen=True)
+class Root:
+    canonical: str
+    identifier: str
+    category: str
+
+
+class Search:
+    """All splittings of a word; a root that is found doesn't stop further splitting."""
+
+    def __init__(self, roots: list[Root], suffixes: list[Suffix]) -> None:
+        self.roots: dict[str, list[Root]] = {}
+        for r in roots:
+            self.roots.setdefault(r.canonical, []).append(r)
+        self.suffixes: dict[str, list[Suffix]] = {}
+        for s in suffixes:
+            self.suffixes.setdefault(s.form, []).append(s)
+        self.longest = max(map(len, self.suffixes), default=0)
+
+    def run(self, word: str, stop_after: int | None = None, seconds: float | None = None) -> tuple[list[str], bool]:
+        """The decompositions, fewest parts first, and whether the time ran out; then none are given."""
+        end = None if seconds is None else time.monotonic() + seconds
+        found: dict[str, None] = {}
+        todo: list[tuple[str, str | None, tuple[str, ...], Suffix | None]] = [(word, None, (), None)]
+        while todo:
+            if end is not None and time.monotonic() > end:
+                return [], True
+            rest, wanted, tail, after = todo.pop(0)
+            for root in self.roots.get(rest, ()):
+                if wanted is None or root.category == wanted:
+                    found.setdefault("".join((f"{{{rest}:{root.canonical}/{root.identifier}}}", *tail)))
+            # A stem whose last consonant was deleted shows one character less.
+            for k in range(1, min(self.longest, len(rest) - 1) + 1):
+                for s in self.suffixes.get(rest[-k:], ()):
+                    if wanted is not None and s.results_in != wanted or after == s:
+                        continue
+                    part = f"{{{s.form}:{s.canonical}/{s.identifier}}}"
+                    stem = rest[:-k]
+                    for shown in [stem] if s.action == "neutral" else [stem + c for c in CONSONANTS]:
+                        todo.append((shown, s.attaches_to, (part, *tail), s))
+            if stop_after is not None and len(found) >= stop_after:
+                break
+        out = list(found)
+        return (out if stop_after is None else out[:stop_after]), False
+
+
+def decompose(words: DataFrame, roots: list[Root], suffixes: list[Suffix], stop_after: int | None = None, seconds: float | None = None) -> DataFrame:
+    """(word, status, decomps) of each distinct word: completed, timed_out or crashed. Null and empty words are left out. The
+    lexicon is broadcast; it is a fixed list.
+    """
+    shared = words.sparkSession.sparkContext.broadcast((roots, suffixes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Search(*shared.value)
+        for b in batches:
+            status, lists = [], []
+            for w in b.column(0).to_pylist():
+                try:
+                    got, late = search.run(w, stop_after, seconds)
+                    status.append("timed_out" if late else "completed")
+                except Exception:  # noqa: BLE001
+                    got = []
+                    status.append("crashed")
+                lists.append(got)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(status), pa.array(lists, pa.list_(pa.string()))], ["word", "status", "decomps"])
+
+    return words.select("word").where("word IS NOT NULL AND word <> ''").distinct().mapInArrow(run, "word string, status string, decomps array<string>")
