@@ -140,7 +140,7 @@ def test_consistent_form(spark):
 
 def test_composition_agrees_with_unicode(spark):
     r = random.Random(1)
-    texts = ["".join(r.choice("aeioucņ̣́̂̈̄ ") for _ in range(12)) for _ in range(200)]
+    texts = ["x" + "".join(r.choice(["a", "e", "o", "u", "c", "\u0146", "\u0323", "\u0301", "\u0302", "\u0308", "\u0304", "\u0327"]) for _ in range(12)) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
     got = {r["id"]: r["consistent"] for r in consistent.consistent_form(df, ["id"], "t").collect()}
     for i, t in enumerate(texts):
