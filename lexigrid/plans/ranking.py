@@ -350,3 +350,55 @@ def m09_folds(spark: SparkSession, sf: str) -> DataFrame:
     h = F.md5(F.col("id").cast("string"))
     rows = table(spark, sf, "words").select("id", h.alias("h"))
     return rows.select("id", (F.row_number().over(W.partitionBy(F.substring("h", 1, 1)).orderBy("h", "id")) % 5).cast("long").alias("fold"))
+
+
+@R.query(f"SELECT key, count(DISTINCT word_id) AS words FROM (SELECT word_id, unnest({_KEYS}) AS key FROM ({_C})) WHERE key IN ('mi/tn-loc-d', 'lu/2vv', 'suk/2nn', 'mu/3vv') GROUP BY key")
+def j21_words_by_morpheme(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of which some analysis has a morpheme."""
+    rows = _c(spark, sf).select("word_id", F.explode(D.keys(F.col("decomp"))).alias("key"))
+    return rows.where(F.col("key").isin("mi/tn-loc-d", "lu/2vv", "suk/2nn", "mu/3vv")).groupBy("key").agg(F.countDistinct("word_id").alias("words"))
+
+
+@R.query(f"WITH f AS ({_AFF}) SELECT word_id, len(list_filter(affixes, lambda x: x NOT IN ('lu/2vv', 'suk/2nn', 'mu/3vv', 'sagu/2nn'))) = 0 AS supported FROM f")
+def u05_supported_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the affixes of a word's first analysis are all among the supported ones."""
+    known = F.array(*map(F.lit, ("lu/2vv", "suk/2nn", "mu/3vv", "sagu/2nn")))
+    return _first(spark, sf).select("word_id", (F.size(F.array_except("affixes", known)) == 0).alias("supported"))
+
+
+@R.query(_EVAL + "SELECT g, count(*) AS words, count_if(first IS NULL OR first > 1) AS missed, round(avg(CASE WHEN first IS NULL OR first > 1 THEN 1.0 ELSE 0.0 END), 6) AS miss_rate FROM w GROUP BY g")
+def a30_miss_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the first analysis is wrong, by the number of right ones."""
+    missed = F.when(F.coalesce(F.col("first") > 1, F.lit(True)), 1.0).otherwise(0.0)
+    return _judged(spark, sf).groupBy("g").agg(F.count("*").alias("words"), F.sum(missed).cast("long").alias("missed"), F.round(F.avg(missed), 6).alias("miss_rate"))
+
+
+@R.query(f"SELECT word_id, max(score) - min(score) > 0 AS any_spread, max(CASE WHEN lenient THEN 1 ELSE 0 END) = 1 AS ever_lenient, min(CASE WHEN lenient THEN 1 ELSE 0 END) = 1 AS always_lenient FROM ({_GOOD}) WHERE NOT isinf(score) GROUP BY word_id")
+def a29_stability(spark: SparkSession, sf: str) -> DataFrame:
+    lenient = F.when(F.col("lenient"), 1).otherwise(0)
+    rows = _good(spark, sf).where(F.abs("score") < float("inf"))
+    return rows.groupBy("word_id").agg((F.max("score") - F.min("score") > 0).alias("any_spread"), (F.max(lenient) == 1).alias("ever_lenient"), (F.min(lenient) == 1).alias("always_lenient"))
+
+
+@R.query(f"SELECT c.cand_id, CASE WHEN g.top = c.decomp THEN 2 WHEN list_contains(g.decomps, c.decomp) THEN 1 ELSE 0 END AS tier FROM ({_C}) c JOIN (SELECT id, decomps, decomps[1] AS top FROM words WHERE len(decomps) > 0) g ON g.id = c.word_id")
+def m11_relevance_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    """2 for the first of a word's listed analyses, 1 for another of them, 0 for the rest."""
+    gold = table(spark, sf, "words").where(F.size("decomps") > 0).select(F.col("id").alias("word_id"), "decomps")
+    rows = _c(spark, sf).join(gold, "word_id")
+    tier = F.when(F.get("decomps", F.lit(0)) == F.col("decomp"), 2).when(F.array_contains("decomps", F.col("decomp")), 1).otherwise(0)
+    return rows.select("cand_id", tier.alias("tier"))
+
+
+@R.query(f"SELECT r.word_id, r.decomp IS NOT DISTINCT FROM f.decomp AS same_top, r.decomp IS NULL AS only_fst, f.decomp IS NULL AS only_r2l FROM (SELECT word_id, arg_min(decomp, (native_rank, cand_id)) AS decomp FROM ({_C}) WHERE analyzer = 'r2l' GROUP BY 1) r FULL JOIN (SELECT word_id, arg_min(decomp, (native_rank, cand_id)) AS decomp FROM ({_C}) WHERE analyzer = 'fst' GROUP BY 1) f ON r.word_id = f.word_id WHERE r.word_id IS NOT NULL")
+def j20_first_of_both_analyzers(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the two analyzers' first analyses agree, for words that the first of them has; one aggregation, no join."""
+    first = lambda a: F.min_by(F.when(F.col("analyzer") == a, F.col("decomp")), F.when(F.col("analyzer") == a, F.struct("native_rank", "cand_id")))
+    rows = _c(spark, sf).groupBy("word_id").agg(first("r2l").alias("r"), first("fst").alias("f")).where("r IS NOT NULL")
+    return rows.select("word_id", F.col("r").eqNullSafe(F.col("f")).alias("same_top"), F.lit(False).alias("only_fst"), F.col("f").isNull().alias("only_r2l"))
+
+
+@R.query(f"SELECT a.word_id, a.key, a.n AS in_word, p.n AS prior FROM (SELECT word_id, key, count(*) AS n FROM (SELECT word_id, unnest(k) AS key FROM ({_FIRST})) GROUP BY ALL) a LEFT JOIN (SELECT x AS key, count(*) AS n FROM (SELECT unnest(k) AS x FROM ({_FIRST})) GROUP BY x) p ON p.key = a.key")
+def j06_morpheme_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    """The morphemes of each word's first analysis with their frequency."""
+    rows = _first(spark, sf).select("word_id", F.explode("k").alias("key")).groupBy("word_id", "key").agg(F.count("*").alias("in_word"))
+    return rows.join(a09_morpheme_prior(spark, sf).withColumnRenamed("n", "prior"), "key", "left").select("word_id", "key", "in_word", "prior")
