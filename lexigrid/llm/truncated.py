@@ -5,7 +5,8 @@ stands whole elsewhere but is a strict prefix of longer words there, after the s
 An end that stands whole elsewhere is cut if it practically never ends a clause there. A whole text that is a strict prefix
 of a longer one says little here, as texts of one entry are often the first entry of longer ones.
 
-The counts are taken from all documents. Sources whose other texts end with a mark, and lengths at which the texts of a source
+The counts are taken from all documents, each text once however many copies there are, so that copies of a cut text don't
+make its end look common. Sources whose other texts end with a mark, and lengths at which the texts of a source
 pile up, show from these counts too, so that nothing is fitted to one source.
 """
 
@@ -22,7 +23,7 @@ from lexigrid.session import cut
 PLAIN = dict(zip("éèêëàâäîïôöûùüçÉÈÊÀÂÎÔÛÇ", "eeeeaaaiioouuucEEEAAIOUC", strict=True))
 MARK, CLOSER = r".!?…", r"”\x22»)\]}’'"
 EMOJI = r"\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}"
-#: How many times an end must occur to count as a formula that closes texts, and in what part of its occurrences.
+#: How many distinct texts an end must close to count as a formula, and in what part of its occurrences and those of longer words.
 FORMULA, FORMULA_PART = 5, 0.3
 #: The part of a word's occurrences that must close a clause, with so many occurrences of the word alone as prior.
 CLOSING, PRIOR = 0.02, 20
@@ -55,18 +56,16 @@ _MARKS_AT_END = rf"[{MARK};,]+[”\x22»)\]’]*$"
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, before, word, full, closed, last) of every word: before is the word before it in the clause (^ at
+    """(before, word, full, closed, last) of every word: before is the word before it in the clause (^ at
     its beginning), word the word without marks after it, full the word with them, closed whether a clause ends here.
     """
-    rows = docs.select("doc_id", "source", F.regexp_extract_all("f", F.lit(r"\n|[^ \n]+"), F.lit(0)).alias("w"))
+    rows = docs.select(F.regexp_extract_all("f", F.lit(r"\n|[^ \n]+"), F.lit(0)).alias("w"))
     three = F.expr("transform(w, (x, i) -> named_struct('x', x, 'p', IF(i = 0, NULL, w[i - 1]), 'n', IF(i + 1 < size(w), w[i + 1], NULL)))")
-    rows = rows.select("doc_id", "source", F.explode(three).alias("t")).select("doc_id", "source", "t.*").where(F.col("x") != "\n")
+    rows = rows.select(F.explode(three).alias("t")).select("t.*").where(F.col("x") != "\n")
     bare = F.regexp_replace("x", _MARKS_AT_END, "")
     marked = (bare != F.col("x")) & (bare != "")
     begins = F.col("p").isNull() | (F.col("p") == "\n") | F.col("p").rlike(r"[^\s]" + _MARKS_AT_END)
     return rows.select(
-        "doc_id",
-        "source",
         F.when(begins, "^").otherwise(_masked(F.col("p"))).alias("before"),
         _masked(F.when(bare == "", F.col("x")).otherwise(bare)).alias("word"),
         _masked(F.col("x")).alias("full"),
@@ -76,10 +75,10 @@ def _words(docs: DataFrame) -> DataFrame:
 
 
 def _limits(docs: DataFrame) -> DataFrame:
-    """(source, unit, length) of the lengths, in characters or bytes, at which the texts of a source pile up."""
+    """(source, unit, length) of the lengths, in characters or bytes, at which the texts of a source pile up; copies count as one."""
     counts = None
     for unit, size in (("char", F.col("chars")), ("byte", F.col("bytes"))):
-        one = docs.groupBy("source", size.cast("int").alias("length")).agg(F.count("*").alias("n")).withColumn("unit", F.lit(unit))
+        one = docs.groupBy("source", size.cast("int").alias("length")).agg(F.countDistinct("h").alias("n")).withColumn("unit", F.lit(unit))
         counts = one if counts is None else counts.unionByName(one)
     near = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-NEAR, NEAR)
     others = (F.sum("n").over(near) - F.col("n")) / (2 * NEAR)
@@ -108,9 +107,9 @@ def judged(documents: DataFrame) -> DataFrame:
     """
     bare = F.rtrim(F.col("text"), F.lit(BLANKS))
     # Written, as three passes read it.
-    base = cut(documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length(bare).alias("chars"), F.octet_length(bare).alias("bytes"), folded(F.col("text")).alias("f")))
+    base = cut(documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length(bare).alias("chars"), F.octet_length(bare).alias("bytes"), folded(F.col("text")).alias("f")).withColumn("h", F.xxhash64("f")))
     docs = base.where("f <> ''")
-    counted = cut(_words(docs).groupBy("before", "word", "full", "last").agg(F.count("*").alias("n"), F.sum(F.col("closed").cast("long")).alias("closed")))
+    counted = cut(_words(docs.select("f").distinct()).groupBy("before", "word", "full", "last").agg(F.count("*").alias("n"), F.sum(F.col("closed").cast("long")).alias("closed")))
     inner = F.when(~F.col("last"), F.col("n")).otherwise(0)
     sums = [F.sum(inner).alias("total"), F.sum(F.when(~F.col("last"), F.col("closed")).otherwise(0)).alias("closing"), F.sum(F.when(F.col("last"), F.col("n")).otherwise(0)).alias("lasts")]
     two = counted.groupBy("before", "word").agg(*sums)
@@ -129,6 +128,7 @@ def judged(documents: DataFrame) -> DataFrame:
             "source",
             "chars",
             "bytes",
+            "h",
             F.when(opened, "open").when(end.rlike("[,;:–/—-]"), "joint").alias("reason"),
             F.substring("f", -2, 2).rlike(r"\p{Nd}\.").alias("number"),
             end.rlike(f"[{MARK}{CLOSER}{EMOJI}]").alias("marked"),
@@ -163,16 +163,19 @@ def judged(documents: DataFrame) -> DataFrame:
     known = cut(known.join(shapes, ["word"], "left"))
 
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    formula = lambda i: (n(f"lasts{i}") >= FORMULA) & (n(f"lasts{i}") >= FORMULA_PART * (n(f"total{i}") + n(f"lasts{i}"))) & (n(f"lasts{i}") >= n(f"longer_last{i}"))
+    fragment = lambda i: (n(f"total{i}") == 0) & (n(f"longer{i}") > 0)
+    # A fragment hardly ever stands whole inside of a text: the longer words that it may be cut from are occurrences of it too.
+    occurs = lambda i: n(f"lasts{i}") + n(f"total{i}") + n(f"longer{i}")
+    formula = lambda i: (n(f"lasts{i}") >= FORMULA) & (n(f"lasts{i}") >= FORMULA_PART * occurs(i)) & (n(f"lasts{i}") >= n(f"longer_last{i}"))
     rate = n("closing1") / F.nullif(n("total1"), F.lit(0))
     says = (
-        F.when((n("total2") == 0) & (n("longer2") > 0), "prefix")
+        F.when(fragment(2), "prefix")
         .when((n("total1") >= 1) & ((n("closing2") + PRIOR * rate) / (n("total2") + PRIOR) > CLOSING), None)
         .when(n("total1") >= 5, "never-closes")
-        .when((n("total1") == 0) & (n("longer1") > 0), "prefix")
+        .when(fragment(1), "prefix")
         .when(F.col("may_end") <= ENDING, "shape")
     )
-    known = known.select("before", "word", "full", (formula(2) | formula(1)).alias("formula"), says.alias("says"), ((n("wholes") == 0) & (n("longer_full") >= 3)).alias("cut_number"))
+    known = known.select("before", "word", "full", (formula(2) | formula(1) & ~fragment(2)).alias("formula"), says.alias("says"), ((n("wholes") == 0) & (n("longer_full") >= 3)).alias("cut_number"))
     # One end may close a third of all texts: its row is repeated for each salt.
     known = known.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     limits = _limits(docs)
@@ -181,8 +184,8 @@ def judged(documents: DataFrame) -> DataFrame:
     open_ends = open_ends.join(known, ["before", "word", "full", "salt"], "left").drop("salt")
     # Few rows: a handful of lengths for each source.
     open_ends = open_ends.join(at("char", "chars"), ["source", "chars"], "left").join(at("byte", "bytes"), ["source", "bytes"], "left")
-    open_ends = cut(open_ends.select("doc_id", "source", "marked", "number", "formula", "says", "cut_number", (F.coalesce("limit_char", F.lit(False)) | F.coalesce("limit_byte", F.lit(False))).alias("at_limit")))
-    free = open_ends.where("NOT marked AND NOT formula AND NOT at_limit").groupBy("source").agg((F.avg(F.col("says").isNull().cast("int")) < OPTIONAL).alias("needs_mark"))
+    open_ends = cut(open_ends.select("doc_id", "source", "h", "marked", "number", "formula", "says", "cut_number", (F.coalesce("limit_char", F.lit(False)) | F.coalesce("limit_byte", F.lit(False))).alias("at_limit")))
+    free = open_ends.where("NOT marked AND NOT formula AND NOT at_limit").select("source", "h", "says").distinct().groupBy("source").agg((F.avg(F.col("says").isNull().cast("int")) < OPTIONAL).alias("needs_mark"))
     reason = (
         F.when(F.col("marked"), F.when(F.col("number") & F.col("cut_number"), "number"))
         .when(F.col("formula"), None)

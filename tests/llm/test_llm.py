@@ -249,3 +249,16 @@ def test_truncated(spark):
     rates = {r["source"]: (r["documents"], r["truncated"]) for r in truncated.truncation_rates(truncated.judged(df)).collect()}
     assert rates["notes"] == (607, 5)
     assert truncated.judged(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_cut_text_and_common_fragments_are_no_formulas(spark):
+    r = random.Random(5)
+    nouns, verbs = ["report", "dictionary", "interpreter", "shoreline", "kayak", "lesson"], ["described", "corrected", "announced"]
+    clause = lambda: f"the {r.choice(nouns)} {r.choice(verbs)} the {r.choice(nouns)}"
+    docs = [(i, "; ".join(clause() for _ in range(3)), "notes") for i in range(600)]
+    docs += [(1000 + i, "the report described the lesson; the kayak described the interpre", "notes") for i in range(300)]
+    docs += [(2000 + i, "; ".join(clause() for _ in range(1 + i % 4)) + "; the shoreline announced the dictio", "notes") for i in range(20)]
+    # A word that only ends texts is a formula although longer words begin with it.
+    docs += [(3000 + i, "; ".join(clause() for _ in range(3)) + "\nsee the key", "notes") for i in range(400)] + [(4000 + i, "see the keyboard; " + "; ".join(clause() for _ in range(3)), "notes") for i in range(200)]
+    got = {x["doc_id"]: x["reason"] for x in truncated.judged(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).collect()}
+    assert {k for k, v in got.items() if v} == {*range(1000, 1300), *range(2000, 2020)}
