@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import time
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: What a stem loses before the suffix is attached: nothing, or its last consonant.
 ACTIONS = ("neutral", "deletion")
@@ -49,14 +51,23 @@ class Search:
         """The decompositions, fewest parts first, and whether the time ran out; then none are given."""
         end = None if seconds is None else time.monotonic() + seconds
         found: dict[str, None] = {}
-        todo: list[tuple[str, str | None, tuple[str, ...], Suffix | None]] = [(word, None, (), None)]
-        while todo:
+        for rest, wanted, tail in self.stems(word):
             if end is not None and time.monotonic() > end:
                 return [], True
-            rest, wanted, tail, after = todo.pop(0)
             for root in self.roots.get(rest, ()):
                 if wanted is None or root.category == wanted:
                     found.setdefault("".join((f"{{{rest}:{root.canonical}/{root.identifier}}}", *tail)))
+            if stop_after is not None and len(found) >= stop_after:
+                break
+        out = list(found)
+        return (out if stop_after is None else out[:stop_after]), False
+
+    def stems(self, word: str) -> Iterator[tuple[str, str | None, tuple[str, ...]]]:
+        """All that may be a root with the category that it needs (None: any) and the parts after it, fewest parts first."""
+        todo: deque[tuple[str, str | None, tuple[str, ...], Suffix | None]] = deque([(word, None, (), None)])
+        while todo:
+            rest, wanted, tail, after = todo.popleft()
+            yield rest, wanted, tail
             # A stem whose last consonant was deleted shows one character less.
             for k in range(1, min(self.longest, len(rest) - 1) + 1):
                 for s in self.suffixes.get(rest[-k:], ()):
@@ -66,10 +77,6 @@ class Search:
                     stem = rest[:-k]
                     for shown in [stem] if s.action == "neutral" else [stem + c for c in CONSONANTS]:
                         todo.append((shown, s.attaches_to, (part, *tail), s))
-            if stop_after is not None and len(found) >= stop_after:
-                break
-        out = list(found)
-        return (out if stop_after is None else out[:stop_after]), False
 
 
 def decompose(words: DataFrame, roots: list[Root], suffixes: list[Suffix], stop_after: int | None = None, seconds: float | None = None) -> DataFrame:
@@ -93,3 +100,36 @@ def decompose(words: DataFrame, roots: list[Root], suffixes: list[Suffix], stop_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(status), pa.array(lists, pa.list_(pa.string()))], ["word", "status", "decomps"])
 
     return words.select("word").where("word IS NOT NULL AND word <> ''").distinct().mapInArrow(run, "word string, status string, decomps array<string>")
+
+
+def decompose_joined(words: DataFrame, roots: DataFrame, suffixes: list[Suffix]) -> DataFrame:
+    """decompose over a lexicon of any size: roots (canonical, identifier ending in the category) are joined to the possible stems
+    of each word; a root that stands there more often comes first among those of one stem. Only the suffixes are a fixed list.
+    """
+    shared = words.sparkSession.sparkContext.broadcast(suffixes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Search([], shared.value)
+        for b in batches:
+            status, lists = [], []
+            for w in b.column(0).to_pylist():
+                try:
+                    got = [{"pos": i, "rest": rest, "wanted": wanted, "tail": "".join(tail)} for i, (rest, wanted, tail) in enumerate(search.stems(w))]
+                    status.append("completed")
+                except Exception:  # noqa: BLE001
+                    got = []
+                    status.append("crashed")
+                lists.append(got)
+            stem = pa.struct([("pos", pa.int64()), ("rest", pa.string()), ("wanted", pa.string()), ("tail", pa.string())])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(status, pa.string()), pa.array(lists, pa.list_(stem))], ["word", "status", "stems"])
+
+    rows = words.select("word").where("word IS NOT NULL AND word <> ''").distinct()
+    rows = rows.mapInArrow(run, "word string, status string, stems array<struct<pos:bigint,rest:string,wanted:string,tail:string>>")
+    rows = rows.select("word", "status", F.explode_outer("stems").alias("s")).select("word", "status", "s.*")
+    counts = roots.groupBy("canonical", "identifier").agg(F.count("*").alias("n"))
+    fits = F.col("wanted").isNull() | (F.col("wanted") == F.substring("identifier", -1, 1))
+    rows = rows.join(counts, (F.col("rest") == F.col("canonical")) & fits, "left")
+    text = F.concat(F.lit("{"), "rest", F.lit(":"), "canonical", F.lit("/"), "identifier", F.lit("}"), "tail")
+    found = F.when(F.col("n").isNotNull(), F.struct("pos", (-F.col("n")).alias("n"), "identifier", text.alias("text")))
+    out = rows.groupBy("word").agg(F.first("status").alias("status"), F.sort_array(F.collect_list(found)).alias("x"))
+    return out.select("word", "status", F.array_distinct(F.col("x.text")).alias("decomps"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from lexigrid.functions import text as X
 from lexigrid.operators.constraints import compiled
-from lexigrid.operators.segmentation import Root, Suffix, decompose
+from lexigrid.operators.segmentation import Suffix, decompose_joined
 from lexigrid.operators.trees import score_rows
 from lexigrid.plans.registry import Registry
 from lexigrid.session import table
@@ -197,7 +197,4 @@ def r01_decompositions(spark: SparkSession, sf: str) -> DataFrame:
     """Splittings of the case words over the roots of the cases' own lists and a small set of suffixes."""
     cases = table(spark, sf, "analyzer_cases")
     items = cases.select(F.explode(F.split("all_correct_decomps", ";")).alias("d")).select(F.regexp_extract("d", r"^\s*\{[^:{}]*:([^/{}]*)/([^{}]*)\}", 1).alias("c"), F.regexp_extract("d", r"^\s*\{[^:{}]*:([^/{}]*)/([0-9]+[nv])\}", 2).alias("i"))
-    # The most frequent roots, so that the broadcast lexicon stays small.
-    top = items.where("i <> ''").groupBy("c", "i").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c", "i").limit(2000).collect()
-    roots = [Root(r["c"], r["i"], r["i"][-1]) for r in top]
-    return decompose(cases.select(F.lower("word").alias("word")), roots, _SUFFIXES)
+    return decompose_joined(cases.select(F.lower("word").alias("word")), items.where("i <> ''").select(F.col("c").alias("canonical"), F.col("i").alias("identifier")), _SUFFIXES)

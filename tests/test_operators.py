@@ -7,7 +7,7 @@ from lexigrid.functions.script import long_signs, roman_column, romans, to_roman
 from lexigrid.operators.constraints import ConditionError, compiled
 from lexigrid.operators.lookup import concordance, longest_prefix, word_index
 from lexigrid.operators.ranks import numbered
-from lexigrid.operators.segmentation import Root, Search, Suffix, decompose
+from lexigrid.operators.segmentation import Root, Search, Suffix, decompose, decompose_joined
 from lexigrid.operators.trees import score_rows
 from lexigrid.sources import files
 from lexigrid.streaming import lines
@@ -100,6 +100,25 @@ def test_search(spark):
     assert {r["word"]: r["decomps"] for r in got} == {"iglumut": ["{iglu:iglu/1n}{mut:mut/tn-dat-s}"], "x": []}
 
 
+def test_joined_search_keeps_all_roots(spark):
+    suffixes = [Suffix("mi", "mi", "tn-loc-s", "n", ""), Suffix("vik", "vik", "1vn", "v", "n"), Suffix("suk", "suk", "2nn", "n", "n", "deletion")]
+    roots = [Root(f"r{i}", f"1{c}", c) for i in range(3000) for c in "nv"]
+    words = spark.createDataFrame([(f"r{i}{s}",) for i in (0, 2999) for s in ("", "mi", "vikmi", "suk", "x")] + [(None,), ("",)], "word string")
+    lexicon = spark.createDataFrame([(r.canonical, r.identifier) for r in roots], "canonical string, identifier string")
+    want = {r["word"]: (r["status"], r["decomps"]) for r in decompose(words, roots, suffixes).collect()}
+    assert {r["word"]: (r["status"], r["decomps"]) for r in decompose_joined(words, lexicon, suffixes).collect()} == want
+    assert len(want["r2999"][1]) == 2
+
+
+def test_query_of_decompositions_keeps_all_roots(spark, tmp_path):
+    from lexigrid.plans.tables import r01_decompositions
+
+    cases = [(f"root{i}", f"{{root{i}:root{i}/1n}}") for i in range(2300)]
+    spark.createDataFrame(cases, "word string, all_correct_decomps string").write.parquet(f"{tmp_path}/analyzer_cases.parquet")
+    got = r01_decompositions(spark, str(tmp_path)).collect()
+    assert len(got) == 2300 and all(r["decomps"] == [f"{{{r['word']}:{r['word']}/1n}}"] for r in got)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('morpheme,type,meaning\na,n,"b, ""c"""\nd,,\n')
     assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "a.csv")).collect()] == [("a", "n", 'b, "c"'), ("d", None, None)]
