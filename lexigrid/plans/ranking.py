@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -62,10 +62,14 @@ _FIRST = f"SELECT word_id, decomp, {_KEYS} AS k FROM (SELECT *, row_number() OVE
 _AFFIX = "CASE WHEN split_part(x, '/', 2) LIKE '%-%' THEN split_part(x, '/', 2) ELSE x END"
 
 
+def _affixes(k: Column) -> Column:
+    return F.array_distinct(F.transform(F.slice(k, 2, F.greatest(F.size(k), F.lit(1))), D.affix_key))
+
+
 def _first(spark: SparkSession, sf: str) -> DataFrame:
     """The first analysis of each word with its affix keys; the least of a word is found before the shuffle."""
     rows = _c(spark, sf).groupBy("word_id").agg(F.min_by("decomp", F.struct("native_rank", "cand_id")).alias("decomp"))
-    return rows.withColumn("k", D.keys(F.col("decomp"))).withColumn("affixes", F.array_distinct(F.transform(F.slice("k", 2, F.greatest(F.size("k"), F.lit(1))), D.affix_key)))
+    return rows.withColumn("k", D.keys(F.col("decomp"))).withColumn("affixes", _affixes(F.col("k")))
 
 
 _AFF = f"SELECT word_id, list_distinct(list_transform(k[2:], lambda x: {_AFFIX})) AS affixes FROM ({_FIRST})"
@@ -100,11 +104,15 @@ WITH f AS ({_AFF}), n AS (SELECT a, row_number() OVER (ORDER BY count(*) DESC, a
 m AS (SELECT word_id, a FROM (SELECT word_id, unnest(affixes) AS a FROM f) JOIN n USING (a) WHERE rank > 10), one AS (SELECT word_id, min(a) AS a FROM m GROUP BY word_id HAVING count(*) = 1)
 SELECT a AS affix, count(*) AS words FROM one GROUP BY a""")
 def a08_next_affix(spark: SparkSession, sf: str) -> DataFrame:
-    """Words that lack one affix alone when the ten most frequent are supported, by that affix."""
-    words = _first(spark, sf).select("word_id", F.explode("affixes").alias("affix"))
-    top = words.groupBy("affix").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "affix").limit(10)
-    missing = words.join(F.broadcast(top), "affix", "left_anti").groupBy("word_id").agg(F.min("affix").alias("affix"), F.count("*").alias("k"))
-    return missing.where("k = 1").groupBy("affix").agg(F.count("*").alias("words"))
+    """Words that lack one affix alone when the ten most frequent of the first analyses are supported, by that affix. Of all analyses
+    of a word the one with the fewest missing affixes counts, the first of equals; the SQL looks at the first analysis alone.
+    """
+    words = _first(spark, sf).select(F.explode("affixes").alias("affix"))
+    top = words.groupBy("affix").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "affix").limit(10).agg(F.collect_list("affix").alias("top"))
+    rows = _c(spark, sf).select("word_id", "native_rank", "cand_id", _affixes(D.keys(F.col("decomp"))).alias("affixes"))
+    missing = rows.crossJoin(F.broadcast(top)).withColumn("missing", F.array_except("affixes", "top"))
+    least = missing.groupBy("word_id").agg(F.min_by("missing", F.struct(F.size("missing"), "native_rank", "cand_id")).alias("missing"))
+    return least.where(F.size("missing") == 1).groupBy(F.get("missing", F.lit(0)).alias("affix")).agg(F.count("*").alias("words"))
 
 
 @R.query(f"SELECT x AS key, count(*) AS n FROM (SELECT unnest(k) AS x FROM ({_FIRST})) GROUP BY x")
