@@ -301,9 +301,13 @@ def u08_paradigm_integrity(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(f"WITH s AS ({_WSTEM}), seeds AS (SELECT DISTINCT stem FROM s WHERE freq >= 1000) SELECT id, stem FROM s WHERE stem IN (SELECT stem FROM seeds)")
 def j17_seed_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    """All words that share a stem with a frequent word."""
-    rows = _stem_rows(spark, sf)
-    return rows.join(rows.where("freq >= 1000").select("stem").distinct(), "stem", "left_semi").select("id", "stem")
+    """All words that share a stem with a frequent word, by the stems of the first two analyses of both; each once, with the first
+    stem that links it. The SQL takes the stem of top_decomp alone.
+    """
+    rows = table(spark, sf, "words").select("id", "freq", F.posexplode(F.slice("decomps", 1, 2)).alias("pos", "decomp"))
+    rows = rows.select("id", "freq", "pos", F.array_join(D.stem(D.keys(F.col("decomp"))), " ").alias("stem")).where("stem <> ''")
+    linked = rows.join(rows.where("freq >= 1000").select("stem").distinct(), "stem", "left_semi")
+    return linked.groupBy("id").agg(F.min_by("stem", "pos").alias("stem"))
 
 
 @R.query(f"SELECT cand_id, o FROM (SELECT cand_id, word_id, row_number() OVER (PARTITION BY split_part({_KEYS}[1], '/', 1) ORDER BY 10000 * score DESC, len(decomp), decomp, cand_id) AS o FROM ({_GOOD}) WHERE NOT isinf(score)) WHERE o <= 5")

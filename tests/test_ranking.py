@@ -23,3 +23,13 @@ def test_next_affix_takes_the_analysis_that_lacks_the_fewest(spark, tables):
     rows += [(2, "r2l", 0, "{r:r/1n}{a:a/1nn}", 1.0), (2, "r2l", 1, "{r:r/1n}{c1:c1/1nn}", 0.5), (3, "r2l", 0, "{r:r/1n}{a:a/1nn}", 1.0)]
     got = ranking.a08_next_affix(spark, tables(rows)).collect()
     assert {x["affix"]: x["words"] for x in got} == {"b/1nn": 1, "a/1nn": 1}
+
+
+def test_seed_expansion_uses_the_first_two_analyses(spark, tables):
+    word = lambda i, freq, *d: (i, "w", freq, "completed", list(d), [d[0].strip("{}").split(":")[1]] if d else None)
+    rows = [
+        word(1, 2000, "{a:a/1n}", "{b:b/1n}{mi:mi/tn-loc-s}", "{e:e/1n}"), word(2, 1, "{c:c/1n}", "{b:b/1n}"), word(3, 1, "{a:a/1n}{x:x/tn-dat-s}", "{b:b/1n}"),
+        word(4, 1, "{c:c/1n}", "{d:d/1n}", "{a:a/1n}"), word(5, None, "{e:e/1n}"), word(6, 5000),
+    ]
+    got = ranking.j17_seed_expansion(spark, tables(words=rows)).collect()
+    assert sorted(map(tuple, got)) == [(1, "a/1n"), (2, "b/1n"), (3, "a/1n")]
