@@ -226,7 +226,8 @@ w AS (SELECT word_id, any_value(g) AS g, count(*) AS produced, count_if(hit) AS
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
-    """Each word's ranked analyses against its list: how many were produced and matched, and the place of the first match.
+    """Each word's ranked analyses against its list: how many were produced and matched, and the place of the first match. Words with
+    a list for which nothing usable was produced are kept with zeros; the SQL leaves them out.
 
     A list is short and joined to its word's rows by key; nothing is gathered.
     """
@@ -234,10 +235,10 @@ def _judged(spark: SparkSession, sf: str) -> DataFrame:
     rows = _good(spark, sf).groupBy("word_id", "decomp").agg(F.max("score").alias("score"), F.max_by(F.struct("native_rank", "cand_id"), F.struct("score", -F.col("native_rank"), -F.col("cand_id"))).alias("x"))
     rows = numbered(rows.select("word_id", "decomp", "score", "x.native_rank", "x.cand_id"), "word_id", [F.desc("score"), "native_rank", "decomp", "cand_id"], "r")
     hit = F.array_contains("decomps", F.col("decomp"))
-    rows = rows.join(gold, "word_id").select("word_id", "r", hit.alias("hit"), F.size(F.array_distinct("decomps")).alias("g"))
+    rows = gold.join(rows, "word_id", "left").select("word_id", "r", F.coalesce(hit, F.lit(False)).alias("hit"), F.size(F.array_distinct("decomps")).alias("g"))
     count = lambda c: F.sum(c.cast("long"))
     return rows.groupBy("word_id").agg(
-        F.max("g").alias("g"), F.count("*").alias("produced"), count(F.col("hit")).alias("matched"), F.min(F.when(F.col("hit"), F.col("r"))).alias("first"),
+        F.max("g").alias("g"), F.count("r").alias("produced"), count(F.col("hit")).alias("matched"), F.min(F.when(F.col("hit"), F.col("r"))).alias("first"),
         count(F.col("hit") & (F.col("r") <= F.col("g"))).alias("in_r"), count(F.col("hit") & (F.col("r") <= F.least(F.lit(5), F.col("g")))).alias("in_5"),
     )
 
@@ -251,7 +252,7 @@ def a12_matches_by_word(spark: SparkSession, sf: str) -> DataFrame:
 def a16_ranking_metrics(spark: SparkSession, sf: str) -> DataFrame:
     mean = lambda a, b: F.round(F.avg(F.col(a) / b), 6)
     return _judged(spark, sf).agg(
-        mean("matched", F.col("g")).alias("recall"), mean("matched", F.col("produced")).alias("precision"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
+        mean("matched", F.col("g")).alias("recall"), mean("matched", F.nullif(F.col("produced"), F.lit(0))).alias("precision"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
         mean("in_r", F.col("g")).alias("r_precision"), mean("in_5", F.least(F.lit(5), F.col("g"))).alias("p_at_5"),
         *(F.sum(F.coalesce(F.col("first") <= n, F.lit(False)).cast("long")).alias(f"at{n}") for n in (1, 3, 5)),
     )
@@ -259,7 +260,7 @@ def a16_ranking_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(_EVAL + "SELECT CASE WHEN first = 1 THEN 'first' WHEN first > 1 THEN 'later' ELSE 'absent' END AS outcome, count(*) AS n, round(avg(produced), 6) AS mean_produced FROM w GROUP BY 1")
 def a15_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    outcome = F.when(F.col("first") == 1, "first").when(F.col("first") > 1, "later").otherwise("absent")
+    outcome = F.when(F.col("produced") == 0, "none").when(F.col("first") == 1, "first").when(F.col("first") > 1, "later").otherwise("absent")
     return _judged(spark, sf).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"), F.round(F.avg("produced"), 6).alias("mean_produced"))
 
 

@@ -33,3 +33,14 @@ def test_seed_expansion_uses_the_first_two_analyses(spark, tables):
     ]
     got = ranking.j17_seed_expansion(spark, tables(words=rows)).collect()
     assert sorted(map(tuple, got)) == [(1, "a/1n"), (2, "b/1n"), (3, "a/1n")]
+
+
+def test_words_without_output_are_counted(spark, tables):
+    words = [(i, "w", 1, "completed", ["{a:a/1n}", "{b:b/1n}"], ["a/1n"]) for i in (1, 2, 3, 4)] + [(5, "w", 1, "completed", [], None)]
+    rows = [(1, "r2l", 0, "{a:a/1n}", 1.0), (2, "r2l", 0, "{x:x/1n}", 1.0), (3, "r2l", 0, None, 1.0), (3, "r2l", 1, "{a:a/1n}", float("nan")), (5, "r2l", 0, "{a:a/1n}", 1.0)]
+    sf = tables(rows, words)
+    assert sorted(map(tuple, ranking.a12_matches_by_word(spark, sf).collect())) == [(1, 1, 1, 1), (2, 1, 0, None), (3, 0, 0, None), (4, 0, 0, None)]
+    assert {r["outcome"]: (r["n"], r["mean_produced"]) for r in ranking.a15_outcomes(spark, sf).collect()} == {"first": (1, 1.0), "absent": (1, 1.0), "none": (2, 0.0)}
+    m = ranking.a16_ranking_metrics(spark, sf).collect()[0]
+    assert (m["recall"], m["precision"], m["mrr"], m["at1"]) == (0.125, 0.5, 0.25, 1)
+    assert [tuple(r) for r in ranking.a30_miss_rates(spark, sf).collect()] == [(2, 4, 3, 0.75)]
