@@ -404,10 +404,12 @@ def m11_relevance_tiers(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(f"SELECT r.word_id, r.decomp IS NOT DISTINCT FROM f.decomp AS same_top, r.decomp IS NULL AS only_fst, f.decomp IS NULL AS only_r2l FROM (SELECT word_id, arg_min(decomp, (native_rank, cand_id)) AS decomp FROM ({_C}) WHERE analyzer = 'r2l' GROUP BY 1) r FULL JOIN (SELECT word_id, arg_min(decomp, (native_rank, cand_id)) AS decomp FROM ({_C}) WHERE analyzer = 'fst' GROUP BY 1) f ON r.word_id = f.word_id WHERE r.word_id IS NOT NULL")
 def j20_first_of_both_analyzers(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether the two analyzers' first analyses agree, for words that the first of them has; one aggregation, no join."""
+    """Whether the two analyzers' first analyses agree, and which one alone has the word; one aggregation, no join. The SQL leaves out the
+    words that fst alone has.
+    """
     first = lambda a: F.min_by(F.when(F.col("analyzer") == a, F.col("decomp")), F.when(F.col("analyzer") == a, F.struct("native_rank", "cand_id")))
-    rows = _c(spark, sf).groupBy("word_id").agg(first("r2l").alias("r"), first("fst").alias("f")).where("r IS NOT NULL")
-    return rows.select("word_id", F.col("r").eqNullSafe(F.col("f")).alias("same_top"), F.lit(False).alias("only_fst"), F.col("f").isNull().alias("only_r2l"))
+    rows = _c(spark, sf).groupBy("word_id").agg(first("r2l").alias("r"), first("fst").alias("f")).where("r IS NOT NULL OR f IS NOT NULL")
+    return rows.select("word_id", F.col("r").eqNullSafe(F.col("f")).alias("same_top"), F.col("r").isNull().alias("only_fst"), F.col("f").isNull().alias("only_r2l"))
 
 
 @R.query(f"SELECT a.word_id, a.key, a.n AS in_word, p.n AS prior FROM (SELECT word_id, key, count(*) AS n FROM (SELECT word_id, unnest(k) AS key FROM ({_FIRST})) GROUP BY ALL) a LEFT JOIN (SELECT x AS key, count(*) AS n FROM (SELECT unnest(k) AS x FROM ({_FIRST})) GROUP BY x) p ON p.key = a.key")

@@ -44,3 +44,9 @@ def test_words_without_output_are_counted(spark, tables):
     m = ranking.a16_ranking_metrics(spark, sf).collect()[0]
     assert (m["recall"], m["precision"], m["mrr"], m["at1"]) == (0.125, 0.5, 0.25, 1)
     assert [tuple(r) for r in ranking.a30_miss_rates(spark, sf).collect()] == [(2, 4, 3, 0.75)]
+
+
+def test_first_of_both_analyzers_shows_both_sides(spark, tables):
+    rows = [(1, "r2l", 0, "{a:a/1n}", 1.0), (1, "fst", 0, "{a:a/1n}", 1.0), (2, "r2l", 0, "{a:a/1n}", 1.0), (3, "fst", 0, "{a:a/1n}", 1.0), (4, "fst", 0, None, 1.0)]
+    got = ranking.j20_first_of_both_analyzers(spark, tables(rows)).collect()
+    assert sorted(map(tuple, got)) == [(1, True, False, False), (2, False, False, True), (3, False, True, False)]
