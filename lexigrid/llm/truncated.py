@@ -1,13 +1,14 @@
 """Texts whose end was cut off, by a field's limit or in transfer.
 
-The values of the self-join by prefix are the ends of the texts: the last word after the word before it. An end that never
-stands whole elsewhere but is a strict prefix of longer words there, after the same word, is cut inside of its last word.
-An end that stands whole elsewhere is cut if it practically never ends a clause there. A whole text that is a strict prefix
-of a longer one says little here, as texts of one entry are often the first entry of longer ones.
-
-The counts are taken from all documents, each text once however many copies there are, so that copies of a cut text don't
-make its end look common. Sources whose other texts end with a mark, and lengths at which the texts of a source
-pile up, show from these counts too, so that nothing is fitted to one source.
+Two self-joins by prefix carry the search. The first sorts the whole texts: one that is a strict prefix of another is also one of its
+neighbour's in that order, which shows how the text goes on; it is cut if it goes on inside of a word or of a clause. The second
+hashes prefixes of words: the last word of a text, after the word before it, is looked up among the prefixes of all words after that
+word in the corpus. One that stands there as the beginning of longer words, and hardly ever whole, is cut inside of its last word.
+
+Most cut texts have no longer copy, and many end with a whole word. So the corpus also says how often a word, a word after another and a place in
+a clause that begins alike close a clause inside of texts; at which lengths the texts of a source pile up; in which sources texts end with a mark;
+and by which letters words end. All thresholds are shares or ratios smoothed by a few pseudo-counts, so that nothing switches with the size of
+the corpus. Counts take each text once, however many copies there are.
 """
 
 from __future__ import annotations
@@ -23,19 +24,36 @@ from lexigrid.session import cut
 PLAIN = dict(zip("éèêëàâäîïôöûùüçÉÈÊÀÂÎÔÛÇ", "eeeeaaaiioouuucEEEAAIOUC", strict=True))
 MARK, CLOSER = r".!?…", r"”\x22»)\]}’'"
 EMOJI = r"\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}"
-#: How many distinct texts an end must close to count as a formula, and in what part of its occurrences and those of longer words.
-FORMULA, FORMULA_PART = 5, 0.3
-#: The part of a word's occurrences that must close a clause, with so many occurrences of the word alone as prior.
-CLOSING, PRIOR = 0.02, 20
-#: A length holds at least so many texts of a source, and so many times those of the lengths within NEAR, to be a limit.
-LIMIT_LEAST, LIMIT_TIMES, NEAR, LIMIT_FROM = 5, 6, 20, 40
+#: What an end must close to be a formula: this part of its source's texts, and of its own occurrences with those of longer words.
+FORMULA, FORMULA_PART = 0.004, 0.1
+#: A last word is a fragment if it stands whole in less than this part of its own occurrences and those of longer words.
+WHOLE = 0.06
+#: An end whose smoothed share of closings is smaller doesn't close a clause; one with at least COMPLETE surely may.
+CLOSING, COMPLETE = 0.025, 0.4
+#: Pseudo-counts of the wider context in a smoothed share.
+PRIOR = 4
+#: A limit is a length with so many times the texts of the lengths within NEAR, these plus NATURAL; lengths up to LIMIT_FROM are none.
+LIMIT_TIMES, NEAR, NATURAL, LIMIT_FROM = 6, 20, 0.7, 40
 #: Of a source's ends without a mark this part must be able to close a clause, else its texts need a mark.
 OPTIONAL = 0.4
-#: Part of a piece's occurrences at a word's end from which on it may end a word that is found nowhere else.
-ENDING = 0.35
-SALTS = 8
+#: Smoothed part of a piece's occurrences at a word's end from which on it may end a word that is found nowhere else.
+ENDING = 0.08
+#: Lengths of the pieces.
+PIECES = (2, 3, 4, 5, 6)
+#: Places in a clause that are told apart.
+PLACES = 12
+#: Lines of a source that end with a character are regular from this part of them on; below RARE they are strays.
+REGULAR, RARE = 0.05, 0.004
+#: Rows of one end that one task joins, roughly.
+BLOCK = 4096
+#: What is known of an end.
+END = ["before2", "before", "word", "first", "place"]
 #: Blanks at the ends of a text.
-BLANKS = " \t\n\v\f\r\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANKS = " \t\n\v\f\r\x85                 　"
+
+_MARKS_AT_END = rf"[{MARK};:,]+[”\x22»)\]’]*$"
+#: Where a clause ends: at a line's end, before a slash or an emoji, after a mark.
+_CLAUSES = rf"\n| / | (?=[{EMOJI}])|(?<=[{MARK};:,][”\x22»)\]’]{{0,2}}) "
 
 
 def folded(text: Column) -> Column:
@@ -48,154 +66,184 @@ def folded(text: Column) -> Column:
 
 
 def _masked(word: Column) -> Column:
-    """Digits count by their places; a whole number counts as one."""
-    return F.when(word.rlike(r"^\p{Nd}+$"), "0").otherwise(F.regexp_replace(word, r"\p{Nd}", "0"))
+    """Lower case; digits count by their places, a whole number counts as one."""
+    return F.when(word.rlike(r"^\p{Nd}+$"), "0").otherwise(F.regexp_replace(F.lower(word), r"\p{Nd}", "0"))
+
+
+def _bare(word: Column) -> Column:
+    """A word without the marks and brackets around it; marks alone stay."""
+    out = F.regexp_replace(F.regexp_replace(word, _MARKS_AT_END, ""), rf"^[“«(\[\x22]+|[{CLOSER}]+$", "")
+    return _masked(F.when(out == "", word).otherwise(out))
 
 
-_MARKS_AT_END = rf"[{MARK};,]+[”\x22»)\]’]*$"
+def _clauses(f: Column) -> Column:
+    """The clauses of a text; numbers of a list's items are left out."""
+    return F.split(F.regexp_replace(f, r"(?m)^\p{Nd}{1,3}[.)] ", ""), _CLAUSES)
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    """(before, word, full, closed, last) of every word: before is the word before it in the clause (^ at
-    its beginning), word the word without marks after it, full the word with them, closed whether a clause ends here.
+    """(first, place, before2, before, word, closed, last) of every word: first is the first word of its clause and place its number there, before
+    and before2 are the words before it (^ where there is none), closed whether it ends a clause inside of the text, last whether it ends the text.
     """
-    rows = docs.select(F.regexp_extract_all("f", F.lit(r"\n|[^ \n]+"), F.lit(0)).alias("w"))
-    three = F.expr("transform(w, (x, i) -> named_struct('x', x, 'p', IF(i = 0, NULL, w[i - 1]), 'n', IF(i + 1 < size(w), w[i + 1], NULL)))")
-    rows = rows.select(F.explode(three).alias("t")).select("t.*").where(F.col("x") != "\n")
-    bare = F.regexp_replace("x", _MARKS_AT_END, "")
-    marked = (bare != F.col("x")) & (bare != "")
-    begins = F.col("p").isNull() | (F.col("p") == "\n") | F.col("p").rlike(r"[^\s]" + _MARKS_AT_END)
-    return rows.select(
-        F.when(begins, "^").otherwise(_masked(F.col("p"))).alias("before"),
-        _masked(F.when(bare == "", F.col("x")).otherwise(bare)).alias("word"),
-        _masked(F.col("x")).alias("full"),
-        (marked | F.coalesce(F.col("n").isin("\n", "/") | F.col("n").rlike(f"^[{EMOJI}]"), F.lit(False))).alias("closed"),
-        F.col("n").isNull().alias("last"),
-    )
+    rows = docs.select(F.posexplode(F.filter(_clauses(F.col("f")), lambda x: x != "")).alias("i", "clause"), F.size(F.filter(_clauses(F.col("f")), lambda x: x != "")).alias("n"))
+    rows = rows.select((F.col("i") == F.col("n") - 1).alias("final"), F.filter(F.split("clause", " +"), lambda x: x != "").alias("w")).where(F.size("w") > 0)
+    rows = rows.select("final", F.transform("w", _bare).alias("w"))
+    each = F.expr("transform(w, (x, i) -> named_struct('word', x, 'before', IF(i = 0, '^', w[i - 1]), 'before2', IF(i < 2, '^', w[i - 2])))")
+    rows = rows.select("final", F.size("w").alias("n"), F.get("w", F.lit(0)).alias("first"), F.posexplode(each).alias("place", "t"))
+    ends = F.col("place") == F.col("n") - 1
+    return rows.select("first", F.least("place", F.lit(PLACES)).alias("place"), "t.before2", "t.before", "t.word", (ends & ~F.col("final")).alias("closed"), (ends & F.col("final")).alias("last"))
+
+
+def _piled(docs: DataFrame) -> DataFrame:
+    """(source, whole, unit, length) of the lengths, in characters or bytes of the stored text, at which the texts of a source pile up. Ends that may
+    be complete (whole) and others are counted apart, so that complete texts that happen to have the length stay so.
+    """
+    sizes = F.array(F.struct(F.lit("char").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("byte").alias("unit"), F.col("bytes").alias("length")))
+    counts = docs.select("source", "whole", "h", F.explode(sizes).alias("s")).groupBy("source", "whole", "s.unit", "s.length").agg(F.countDistinct("h").alias("n"))
+    near = Window.partitionBy("source", "whole", "unit").orderBy("length").rangeBetween(-NEAR, NEAR)
+    others = (F.sum("n").over(near) - F.col("n")) / (2 * NEAR)
+    return counts.withColumn("others", others).where((F.col("length") > LIMIT_FROM) & (F.col("n") >= LIMIT_TIMES * (F.col("others") + NATURAL))).select("source", "whole", "unit", "length")
 
 
-def _limits(docs: DataFrame) -> DataFrame:
-    """(source, unit, length) of the lengths, in characters or bytes, at which the texts of a source pile up; copies count as one."""
-    counts = None
-    for unit, size in (("char", F.col("chars")), ("byte", F.col("bytes"))):
-        one = docs.groupBy("source", size.cast("int").alias("length")).agg(F.countDistinct("h").alias("n")).withColumn("unit", F.lit(unit))
-        counts = one if counts is None else counts.unionByName(one)
-    near = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-NEAR, NEAR)
-    others = (F.sum("n").over(near) - F.col("n")) / (2 * NEAR)
-    return counts.withColumn("others", others).where((F.col("n") >= LIMIT_LEAST) & (F.col("length") > LIMIT_FROM) & (F.col("n") >= LIMIT_TIMES * F.col("others"))).select("source", "unit", "length")
+def longer_copies(texts: DataFrame) -> DataFrame:
+    """(f, rest): of every text f (distinct, not empty) that is a strict prefix of another, how its next longer one goes on.
+
+    The texts are range-partitioned and sorted; all that begin with one text follow right after it, so that each looks at
+    its neighbour alone. The first text of each range is handed to the range before: one row a partition.
+    """
+    spark = texts.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(texts.select("f").repartitionByRange(n, "f").withColumn("part", F.spark_partition_id()))
+    heads = ranged.groupBy("part").agg(F.min("f").alias("head"))
+    # As many rows as partitions.
+    heads = heads.select(F.lead("part").over(Window.orderBy("part")).alias("next"), F.lead("head").over(Window.orderBy("part")).alias("next_head"), "part")
+    following = F.lead("f").over(Window.partitionBy("part").orderBy("f"))
+    rows = ranged.withColumn("following", following).join(F.broadcast(heads), "part").withColumn("following", F.coalesce("following", "next_head"))
+    return rows.where(F.expr("startswith(following, f) AND length(following) > length(f)")).select("f", F.expr("substring(following, length(f) + 1)").alias("rest"))
 
 
-def _longer(counts: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, word, longer, longer_last) for the ends that are strict prefixes of words in counts with the same keys: how
-    often such words occur, and the most often that one of them ends a text.
+def _prefix_counts(types: DataFrame, keys: list[str], asked: DataFrame) -> DataFrame:
+    """(keys, word, longer) for the asked (keys, word) that are strict prefixes of words in types (keys, word, n): how often such words occur.
 
-    Each word gives its prefixes of those lengths alone that ends with its keys have, and prefixes are joined as wholes.
+    Every word gives the hashes of its prefixes, which are added up before the shuffle; contexts with very many words are spread by their prefixes.
     """
-    lengths = ends.select(*keys, F.length("word").alias("k")).groupBy(*keys).agg(F.collect_set("k").alias("ks"))
-    rows = counts.join(lengths, keys).select(*keys, "word", "total", "lasts", F.explode(F.expr("filter(ks, k -> k < length(word))")).alias("k"))
-    rows = rows.select(*keys, F.expr("substring(word, 1, k)").alias("word"), "total", "lasts")
-    sums = rows.groupBy(*keys, "word").agg(F.sum(F.col("total") + F.when(F.col("lasts") >= FORMULA, F.col("lasts")).otherwise(0)).alias("longer"), F.max("lasts").alias("longer_last"))
-    return sums.join(ends.select(*keys, "word").distinct(), [*keys, "word"], "left_semi")
+    hashes = types.select(F.explode(F.expr(f"transform(sequence(1, length(word) - 1), k -> xxhash64({''.join(k + ', ' for k in keys)} substring(word, 1, k)))")).alias("p"), "n")
+    sums = hashes.groupBy("p").agg(F.sum("n").alias("longer"))
+    return asked.select(*keys, "word").distinct().withColumn("p", F.xxhash64(*keys, "word")).join(sums, "p").drop("p")
 
 
 def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, source, reason) of every document; reason is null for a text that isn't cut off.
 
     Null, empty and blank texts aren't cut off. Repeated texts are judged alike. Other columns are ignored; a null source is
-    a source of its own. The reasons: open (a bracket or quote of the last line isn't closed), joint (it ends with a comma or
-    the like), number, limit, no-mark (all other texts of the source end with one), prefix, never-closes, shape.
+    a source of its own. The reasons: copy (a longer copy goes on inside of a clause), open (a bracket or quote of the last line isn't closed),
+    joint (it ends with a comma or the like), bytes (its last character is broken), number, limit, no-mark (all other
+    texts of the source end with one), prefix, place, never-closes, shape, line.
     """
-    bare = F.rtrim(F.col("text"), F.lit(BLANKS))
-    # Written, as three passes read it.
-    base = cut(documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length(bare).alias("chars"), F.octet_length(bare).alias("bytes"), folded(F.col("text")).alias("f")).withColumn("h", F.xxhash64("f")))
+    stored = F.col("text")
+    # Written, as several passes read it.
+    base = cut(documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length(stored).alias("chars"), F.octet_length(stored).alias("bytes"), folded(stored).alias("f")).withColumn("h", F.xxhash64("f")))
     docs = base.where("f <> ''")
-    counted = cut(_words(docs.select("f").distinct()).groupBy("before", "word", "full", "last").agg(F.count("*").alias("n"), F.sum(F.col("closed").cast("long")).alias("closed")))
-    inner = F.when(~F.col("last"), F.col("n")).otherwise(0)
-    sums = [F.sum(inner).alias("total"), F.sum(F.when(~F.col("last"), F.col("closed")).otherwise(0)).alias("closing"), F.sum(F.when(F.col("last"), F.col("n")).otherwise(0)).alias("lasts")]
-    two = counted.groupBy("before", "word").agg(*sums)
-    one = counted.groupBy("word").agg(*sums)
-    whole = counted.where("NOT last").groupBy("before", "full").agg(F.sum("n").alias("wholes"))
+    texts = docs.select("f").distinct()
+    said = cut(_words(texts))
+    sums = [F.sum((~F.col("last")).cast("long")).alias("total"), F.sum(F.col("closed").cast("long")).alias("closing"), F.sum(F.col("last").cast("long")).alias("lasts"), F.count("*").alias("n")]
+    again = lambda rows, *keys: rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("total", "closing", "lasts", "n")])
+    three = cut(said.groupBy("before2", "before", "word").agg(*sums))
+    two = cut(again(three, "before", "word"))
+    one = cut(again(two, "word"))
+    after = again(two, "before")
+    places = said.groupBy("first", "place").agg(*sums)
 
     # The ends of the texts.
     line = F.substring_index("f", "\n", -1)
-    end, two_words = F.substring("f", -1, 1), F.substring_index(F.ltrim(line), " ", -2)
+    end = F.substring("f", -1, 1)
     opened = F.lit(False)
     for a, b in ("()", "“”", "«»", "{}", "[]"):
         opened = opened | (F.locate(a, F.reverse(line)) > 0) & ((F.locate(b, F.reverse(line)) == 0) | (F.locate(a, F.reverse(line)) < F.locate(b, F.reverse(line))))
-    ends = cut(
-        docs.select(
-            "doc_id",
-            "source",
-            "chars",
-            "bytes",
-            "h",
-            F.when(opened, "open").when(end.rlike("[,;:–/—-]"), "joint").alias("reason"),
-            F.substring("f", -2, 2).rlike(r"\p{Nd}\.").alias("number"),
-            end.rlike(f"[{MARK}{CLOSER}{EMOJI}]").alias("marked"),
-            F.substring_index(two_words, " ", -1).alias("x"),
-            F.when(two_words.contains(" "), F.substring_index(two_words, " ", 1)).otherwise("").alias("p"),
-        )
-        .withColumn("bare", F.regexp_replace("x", _MARKS_AT_END, ""))
-        .withColumn("before", F.when((F.col("p") == "") | F.col("p").rlike(r"[^\s]" + _MARKS_AT_END), "^").otherwise(_masked(F.col("p"))))
-        .withColumn("word", _masked(F.when(F.col("bare") == "", F.col("x")).otherwise(F.col("bare"))))
-        .withColumn("full", _masked(F.col("x")))
-        .drop("x", "p", "bare")
-    )
-    asked = ends.where("reason IS NULL AND (NOT marked OR number)").select("before", "word", "full").distinct()
-    asked = cut(asked)
+    item = F.col("f").rlike(r"\n\p{Nd}{1,3}[.)]$")
+    whole_line = F.transform(F.filter(F.split(F.element_at(F.filter(_clauses(F.col("f")), lambda x: x != ""), -1), " +"), lambda x: x != ""), _bare)
+    ends = docs.select(
+        "doc_id", "source", "chars", "bytes", "h", "f",
+        F.when(opened, "open").when(end == "�", "bytes").when(end.rlike("[,;:–/—-]"), "joint").when(item, "number").alias("reason"),
+        F.substring("f", -2, 2).rlike(r"\p{Nd}\.").alias("number"),
+        F.col("f").rlike(rf"(?:[{MARK}][{CLOSER}]*|[{EMOJI}])$").alias("marked"),
+        end.rlike(rf"[{CLOSER}]").alias("closer"),
+        end.alias("end"),
+        F.regexp_extract("f", r"([^ \n]*)$", 1).alias("full"),
+        _masked(F.regexp_extract(line, r"^([^ ]*)", 1)).alias("line_first"),
+        whole_line.alias("w"),
+    )
+    ends = ends.where(F.size("w") > 0).withColumns({"word": F.element_at("w", -1), "before": F.coalesce(F.try_element_at("w", F.lit(-2)), F.lit("^")), "before2": F.coalesce(F.try_element_at("w", F.lit(-3)), F.lit("^")), "first": F.get("w", F.lit(0)), "place": F.least(F.size("w") - 1, F.lit(PLACES))}).drop("w")
+    goes_on = longer_copies(texts).select(F.xxhash64("f").alias("h"), F.regexp_extract("rest", rf"^(?:[\p{{L}}\p{{M}}\p{{N}}]| (?![/{EMOJI}]))", 0).alias("goes_on")).where("goes_on <> ''")
+    ends = ends.join(goes_on, "h", "left").withColumn("goes_on", F.when((F.col("goes_on") == " ") | end.rlike(r"[\p{L}\p{M}\p{N}]"), F.col("goes_on")))
+    ends = cut(ends)
+    asked = cut(ends.where("reason IS NULL AND NOT marked").select(*END).distinct())
     pairs, words = asked.select("before", "word").distinct(), asked.select("word").distinct()
-    known = asked.join(two.withColumnsRenamed({"total": "total2", "closing": "closing2", "lasts": "lasts2"}), ["before", "word"], "left")
-    known = known.join(one.withColumnsRenamed({"total": "total1", "closing": "closing1", "lasts": "lasts1"}), ["word"], "left")
-    known = known.join(_longer(two, pairs, ["before"]).withColumnsRenamed({"longer": "longer2", "longer_last": "longer_last2"}), ["before", "word"], "left")
-    spread = one.withColumn("head", F.substring("word", 1, 1))
-    heads = words.withColumn("head", F.substring("word", 1, 1))
-    known = known.join(_longer(spread, heads, ["head"]).withColumnsRenamed({"longer": "longer1", "longer_last": "longer_last1"}).drop("head"), ["word"], "left")
-    known = known.join(whole, ["before", "full"], "left")
-    # With its mark, a number is longer in no other way than by more digits.
-    known = known.join(_longer(two.select("before", F.col("word"), "total", "lasts"), asked.select("before", F.col("full").alias("word")), ["before"]).select("before", F.col("word").alias("full"), F.col("longer").alias("longer_full")), ["before", "full"], "left")
+
+    of = lambda rows, i: rows.withColumnsRenamed({c: f"{c}{i}" for c in ("total", "closing", "lasts", "n")})
+    known = asked.join(of(three, 3), ["before2", "before", "word"], "left").join(of(two, 2), ["before", "word"], "left").join(of(one, 1), ["word"], "left")
+    known = known.join(of(after, "a"), ["before"], "left").join(of(places, "p"), ["first", "place"], "left")
+    contexts = pairs.select("before").distinct()
+    known = known.join(_prefix_counts(two.join(contexts, "before", "left_semi").where("length(word) > 1"), ["before"], pairs).withColumnRenamed("longer", "longer2"), ["before", "word"], "left")
+    known = known.join(_prefix_counts(one.where("length(word) > 1"), [], words).withColumnRenamed("longer", "longer1"), ["word"], "left")
+
     # Pieces of words that are found whole nowhere else.
-    rare = known.where("coalesce(total1, 0) = 0 AND coalesce(longer1, 0) = 0 AND coalesce(longer2, 0) = 0").select("word").distinct()
-    pieces = rare.select("word", F.explode(F.expr("transform(filter(array(4, 3, 2), k -> k <= length(word)), k -> substring(word, length(word) - k + 1, k))")).alias("piece"))
-    types = one.where(F.col("total") > 0).where(F.col("word").rlike(r"^(?:[A-Za-z]+|[\x{1401}-\x{167f}]+)$")).select("word")
-    in_types = types.select(F.explode(F.expr("flatten(transform(array(2, 3, 4), k -> transform(sequence(1, greatest(length(word) - k + 1, 1)), i -> named_struct('piece', substring(word, i, k), 'ends', i + k - 1 = length(word)))))")).alias("s")).select("s.*")
+    rare = known.where("coalesce(total1, 0) = 0 AND coalesce(longer1, 0) = 0").select("word").distinct()
+    pieces = rare.select("word", F.explode(F.expr(f"transform(filter(array({', '.join(map(str, PIECES))}), k -> k <= length(word)), k -> substring(word, length(word) - k + 1, k))")).alias("piece"))
+    types = one.where(F.col("total") > 0).where(F.col("word").rlike(r"^(?:[A-Za-z]{2,}|[\x{1401}-\x{167f}]{2,})$")).select("word")
+    in_types = types.select(F.explode(F.expr(f"flatten(transform(filter(array({', '.join(map(str, PIECES))}), k -> k <= length(word)), k -> transform(sequence(1, length(word) - k + 1), i -> named_struct('piece', substring(word, i, k), 'ends', i + k - 1 = length(word)))))")).alias("s")).select("s.*")
     in_types = in_types.groupBy("piece").agg(F.count("*").alias("n"), F.sum(F.col("ends").cast("long")).alias("ends"))
-    shapes = pieces.join(in_types, "piece").where("n >= 5").groupBy("word").agg(F.max_by(F.col("ends") / F.col("n"), F.length("piece")).alias("may_end"))
-    known = cut(known.join(shapes, ["word"], "left"))
+    shapes = pieces.join(in_types, "piece").groupBy("word").agg(F.array_sort(F.collect_list(F.struct(F.length("piece").alias("k"), F.col("n"), F.col("ends")))).alias("s"))
+    # Longer pieces are smoothed by the shorter ones.
+    may_end = F.aggregate("s", F.lit(0.5), lambda a, s: (s["ends"] + 2 * a) / (s["n"] + 2))
+    known = cut(known.join(shapes.select("word", may_end.alias("may_end")), ["word"], "left"))
 
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    fragment = lambda i: (n(f"total{i}") == 0) & (n(f"longer{i}") > 0)
-    # A fragment hardly ever stands whole inside of a text: the longer words that it may be cut from are occurrences of it too.
-    occurs = lambda i: n(f"lasts{i}") + n(f"total{i}") + n(f"longer{i}")
-    formula = lambda i: (n(f"lasts{i}") >= FORMULA) & (n(f"lasts{i}") >= FORMULA_PART * occurs(i)) & (n(f"lasts{i}") >= n(f"longer_last{i}"))
-    rate = n("closing1") / F.nullif(n("total1"), F.lit(0))
+    smooth = lambda a, b, prior, p: (a + prior * p) / (b + prior)
+    stands = smooth(n("total2"), n("total2") + n("longer2"), 1, smooth(n("total1"), n("total1") + n("longer1"), 1, F.lit(0.5)))
+    after_any = smooth(n("closinga"), n("totala"), PRIOR, F.lit(0.2))
+    alone = smooth(n("closing1"), n("total1"), PRIOR, after_any)
+    closes = smooth(n("closing3"), n("total3"), PRIOR, smooth(n("closing2"), n("total2"), PRIOR, alone))
+    at_place = smooth(n("closingp"), n("totalp"), PRIOR, F.lit(0.2))
+    unseen = (n("total1") == 0) & (n("longer1") == 0)
     says = (
-        F.when(fragment(2), "prefix")
-        .when((n("total1") >= 1) & ((n("closing2") + PRIOR * rate) / (n("total2") + PRIOR) > CLOSING), None)
-        .when(n("total1") >= 5, "never-closes")
-        .when(fragment(1), "prefix")
-        .when(F.col("may_end") <= ENDING, "shape")
+        F.when(stands < WHOLE, "prefix")
+        .when(at_place < CLOSING / 4, "place")
+        .when(closes < CLOSING, "never-closes")
+        .when(unseen & (F.col("may_end") <= ENDING), "shape")
     )
-    known = known.select("before", "word", "full", (formula(2) | formula(1) & ~fragment(2)).alias("formula"), says.alias("says"), ((n("wholes") == 0) & (n("longer_full") >= 3)).alias("cut_number"))
-    # One end may close a third of all texts: its row is repeated for each salt.
-    known = known.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    limits = _limits(docs)
-    at = lambda unit, size: limits.where(F.col("unit") == unit).select("source", F.col("length").alias(size), F.lit(True).alias(f"limit_{unit}"))
-    open_ends = ends.where("reason IS NULL AND (NOT marked OR number)").withColumn("salt", F.expr(f"pmod(xxhash64(doc_id), {SALTS})").cast("int"))
-    open_ends = open_ends.join(known, ["before", "word", "full", "salt"], "left").drop("salt")
+    part = lambda i, prior, p: smooth(n(f"lasts{i}"), n(f"lasts{i}") + n(f"total{i}") + n(f"longer{i}"), prior, p)
+    known = known.select(*END, (part(2, PRIOR, part(1, PRIOR, F.lit(0.0))) >= FORMULA_PART).alias("formula"), says.alias("says"), (says.isNull() & ~unseen & (closes >= COMPLETE)).alias("sure"))
+    open_ends = ends.where("reason IS NULL AND NOT marked").drop("reason", "marked", "number", "full", "line_first", "f")
+    # One end may close a third of all texts: the rows are joined by distinct texts' ends, and its copies over salts by need.
+    hot = open_ends.groupBy(*END).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
+    known = known.join(hot, END).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    most = F.broadcast(hot.where("salts > 1"))
+    open_ends = open_ends.join(most, END, "left").withColumn("salt", F.expr("pmod(xxhash64(doc_id), coalesce(salts, 1))").cast("int")).drop("salts")
+    open_ends = open_ends.join(known.drop("salts"), [*END, "salt"], "left")
+    of_source = docs.groupBy("source").agg(F.countDistinct("h").alias("texts"))
+    closing_here = open_ends.groupBy("source", "word").agg(F.countDistinct("h").alias("here"))
+    formulas = closing_here.join(of_source, "source").where(F.col("here") / (F.col("texts") + 50) >= FORMULA).select("source", "word", F.lit(True).alias("frequent"))
+    # At most 1 / FORMULA rows for each source.
+    open_ends = open_ends.join(F.broadcast(formulas), ["source", "word"], "left").withColumn("formula", F.coalesce(F.col("formula") & F.col("frequent"), F.lit(False)))
+    open_ends = cut(open_ends.select("doc_id", "source", "chars", "bytes", "h", "closer", "formula", F.when(F.col("goes_on").isNotNull() & ((F.col("goes_on") != " ") | ~F.col("sure")), "copy").otherwise(F.col("says")).alias("says"), (F.col("formula") | F.col("sure")).alias("whole")))
+    limits = _piled(open_ends.where("NOT closer"))
+    at = lambda unit, size: F.broadcast(limits.where(F.col("unit") == unit).select("source", "whole", F.col("length").alias(size), F.lit(True).alias(f"limit_{unit}")))
     # Few rows: a handful of lengths for each source.
-    open_ends = open_ends.join(at("char", "chars"), ["source", "chars"], "left").join(at("byte", "bytes"), ["source", "bytes"], "left")
-    open_ends = cut(open_ends.select("doc_id", "source", "h", "marked", "number", "formula", "says", "cut_number", (F.coalesce("limit_char", F.lit(False)) | F.coalesce("limit_byte", F.lit(False))).alias("at_limit")))
-    free = open_ends.where("NOT marked AND NOT formula AND NOT at_limit").select("source", "h", "says").distinct().groupBy("source").agg((F.avg(F.col("says").isNull().cast("int")) < OPTIONAL).alias("needs_mark"))
+    open_ends = open_ends.join(at("char", "chars"), ["source", "whole", "chars"], "left").join(at("byte", "bytes"), ["source", "whole", "bytes"], "left")
+    open_ends = open_ends.withColumn("at_limit", F.coalesce("limit_char", F.lit(False)) | F.coalesce("limit_byte", F.lit(False)))
+    free = open_ends.where("NOT formula AND NOT at_limit AND NOT closer").select("source", "h", "says").distinct().groupBy("source").agg((F.avg(F.col("says").isNull().cast("int")) < OPTIONAL).alias("needs_mark"))
     reason = (
-        F.when(F.col("marked"), F.when(F.col("number") & F.col("cut_number"), "number"))
-        .when(F.col("formula"), None)
+        F.when(F.col("formula"), None)
+        .when(F.col("closer"), F.when(F.col("says").isin("place", "never-closes"), F.col("says")))
+        .when(F.col("says") == "copy", "copy")
         .when(F.col("at_limit"), "limit")
         .when(F.coalesce("needs_mark", F.lit(False)), "no-mark")
         .otherwise(F.col("says"))
     )
-    late = open_ends.join(free, "source", "left").select("doc_id", "source", reason.alias("reason"))
-    clear = ends.where("reason IS NOT NULL OR marked AND NOT number").select("doc_id", "source", "reason")
-    blank = base.where("f IS NULL OR f = ''").select("doc_id", "source", F.lit(None).cast("string").alias("reason"))
+    late = open_ends.join(F.broadcast(free), "source", "left").select("doc_id", "source", reason.alias("reason"))
+    clear = ends.where("reason IS NOT NULL OR marked").select("doc_id", "source", "reason")
+    blank = base.join(ends.select("doc_id"), "doc_id", "left_anti").select("doc_id", "source", F.lit(None).cast("string").alias("reason"))
     return late.unionByName(clear).unionByName(blank)
 
 

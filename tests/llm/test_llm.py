@@ -262,3 +262,17 @@ def test_copies_of_a_cut_text_and_common_fragments_are_no_formulas(spark):
     docs += [(3000 + i, "; ".join(clause() for _ in range(3)) + "\nsee the key", "notes") for i in range(400)] + [(4000 + i, "see the keyboard; " + "; ".join(clause() for _ in range(3)), "notes") for i in range(200)]
     got = {x["doc_id"]: x["reason"] for x in truncated.judged(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).collect()}
     assert {k for k, v in got.items() if v} == {*range(1000, 1300), *range(2000, 2020)}
+
+
+def test_longer_copies_against_brute_force(spark):
+    r = random.Random(6)
+    texts = {"".join(r.choice("ab ") for _ in range(r.randint(1, 7))) for _ in range(300)}
+    got = {x["f"]: x["rest"] for x in truncated.longer_copies(spark.createDataFrame([(t,) for t in texts], "f string")).collect()}
+    assert set(got) == {t for t in texts if any(u != t and u.startswith(t) for u in texts)}
+    assert all(t + rest in texts and rest for t, rest in got.items())
+
+
+def test_text_cut_inside_of_a_character_and_longer_copy(spark):
+    docs = [(i, f"the report number{i} was read here", "notes") for i in range(50)] + [(100, "the report number7 was r", "notes"), (101, "the report number8 was read he�", "notes")]
+    got = {x["doc_id"]: x["reason"] for x in truncated.judged(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).collect()}
+    assert {k: v for k, v in got.items() if v} == {100: "copy", 101: "bytes"}
