@@ -16,9 +16,7 @@ from pyspark.sql.window import Window
 from lexigrid.llm.tokens import TOKENIZERS, count_tokens
 from lexigrid.session import cut
 
-#: Domain of each source that has one of its own name's besides; others are a domain of their own.
-DOMAINS = {"lessons": "education", "school_reader": "education", "glossary": "education", "field_notes": "research", "analysis_notes": "research"}
-#: The spellings of the languages; any other is one language of its own.
+#: Spellings of the languages; a parameter. Any other spelling is one language of its own.
 LANGUAGES = {"en": "en", "eng": "en", "fr": "fr", "fra": "fr", "fre": "fr", "iu": "iu", "iku": "iu", "iu-latn": "iu-latn"}
 #: Cells of the drawn order in each leaf.
 CELLS = 4096
@@ -62,29 +60,29 @@ def budgets(weights: dict[Leaf, float], caps: dict[Leaf, float], total: float) -
     return down(sorted(caps), min(total, sum(caps.values())), 0) if caps else {}
 
 
-def _language(lang: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, F.lower(F.trim(lang))), F.lit("other"))
+def _language(lang: Column, languages: dict[str, str]) -> Column:
+    spelt = F.lower(F.trim(lang))
+    known = F.create_map(*[F.lit(x) for kv in languages.items() for x in kv]) if languages else None
+    return F.coalesce(F.try_element_at(known, spelt) if languages else spelt, F.lit("other"))
 
 
-def _domain(source: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for kv in DOMAINS.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, source), source)
-
-
-def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 1, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:
+def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 1, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS, languages: dict[str, str] = LANGUAGES) -> DataFrame:
     """(doc_id, source, n_tokens, copies) of the documents in the mixture: each source of targets (source, target_share,
     max_repeats, a short list) has its share of the tokens, and copies is at most its max_repeats.
 
+    A column domain of targets, if there is one, puts the sources in domains; without it, or where it is null, a source is a domain of its own.
     total is the number of tokens to reach; without it, the largest for which every source reaches its share. A larger
     one leaves sources short, and what they lack goes to their siblings in the tree. Documents without tokens, or of a
     source that is null or no target, take no part; of rows of targets with a null, zero or negative share or max_repeats
     the source gets nothing. Shares are met to half a document a leaf. doc_id is unique; repeated texts are documents of
     their own.
     """
-    aims = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.select("source", "target_share", "max_repeats").where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").collect()}
-    docs = documents.select("doc_id", "source", "lang", "text").where(F.col("source").isin(*aims) if aims else F.lit(False))
-    docs = docs.select(F.struct("doc_id", _domain(F.col("source")).alias("domain"), _language(F.col("lang")).alias("language"), "source").alias("key"), "text")
+    domain = F.coalesce("domain", "source") if "domain" in targets.columns else F.col("source")
+    rows = targets.select("source", "target_share", "max_repeats", domain.alias("domain"))
+    aims = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in rows.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").collect()}
+    # One row for each source, as many as aims.
+    docs = documents.select("doc_id", "source", "lang", "text").join(F.broadcast(rows.where(F.col("source").isin(*aims) if aims else F.lit(False)).groupBy("source").agg(F.min("domain").alias("domain"))), "source")
+    docs = docs.select(F.struct("doc_id", "domain", _language(F.col("lang"), languages).alias("language"), "source").alias("key"), "text")
     sizes = count_tokens(docs, key="key", vocabulary=vocabulary, folder=folder)
     sizes = cut(sizes.select("key.*", "n_tokens").where("n_tokens > 0"))
     # As many rows as targets have sources, times six languages.

@@ -59,6 +59,10 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.look_alike_pairs(_field_texts(spark, sf))
 
 
+def p5_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalikes.look_alike_classes(_field_texts(spark, sf))
+
+
 def p5_forms(spark: SparkSession, sf: str) -> DataFrame:
     return consistent_form(_field_texts(spark, sf), ["field", "id"], "text")
 
@@ -71,6 +75,15 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
 
 
+def p8_short(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of a mixture half as large again as all documents: some sources run short, and what they lack goes to others of their domain first."""
+    targets = table(spark, sf, "mix_targets").withColumn("domain", F.when(F.col("source").isin("field_notes", "analysis_notes"), "notes").when(F.col("source").isin("lessons", "school_reader", "glossary"), "teaching"))
+    documents = table(spark, sf, "documents")
+    sizes = tokens.count_tokens(documents.select("doc_id", "text"))
+    total = 1.5 * (sizes.agg(F.sum("n_tokens")).first()[0] or 0)
+    return mixture.mixture_shares(cut(mixture.mixture(documents, targets, total)), targets)
+
+
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.mixture_shares(cut(p8_mix(spark, sf)), table(spark, sf, "mix_targets"))
 
@@ -84,7 +97,7 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 queries: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_terms, p4_found, p4_words, p5_found, p5_forms, p7_ids, p8_mix, p8_shares, p9_found, p9_rates)
+    f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_terms, p4_found, p4_words, p5_found, p5_classes, p5_forms, p7_ids, p8_mix, p8_shares, p8_short, p9_found, p9_rates)
 }
 
 _RANKED = """

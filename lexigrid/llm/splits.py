@@ -15,9 +15,7 @@ from pyspark.sql.window import Window
 from lexigrid.functions.script import roman_column
 from lexigrid.session import cut
 
-#: Components with at least this part of all records are placed one by one on the driver; there are at most 1/LARGE.
-LARGE = 1 / 1000
-#: Cells that the small components are put in before their weights are added up.
+#: Cells that the components of one size class are put in before their weights are added up.
 CELLS = 4096
 #: A vertex that isn't reached by then is a sign of an error; each round removes a quarter of the vertices on average.
 MOST_ROUNDS = 500
@@ -102,43 +100,40 @@ def assign_splits(groups: DataFrame, targets: DataFrame, seed: int = 1) -> DataF
     records come as close to targets (split_name, share) as the groups allow.
 
     Shares are taken relative to their sum; rows of targets with a null or non-positive share get nothing. Without any
-    usable target the result is empty. Groups with a thousandth of all records or more, at most a thousand of them, go one by
-    one, largest first, to the split that lacks most; the others follow in an order drawn by seed, each to the split in
-    whose part of the records still lacking its cumulative weight falls.
+    usable target the result is empty. Components are dealt by cumulative weight, by the power of two of their sizes: within each class, in
+    an order drawn by seed, one goes to the split in whose part of the class's weight its middle falls. The parts are those of the records that the
+    splits lack after the larger classes, so that what a large component takes too much is made up by smaller ones. There
+    are at most 63 classes; only their sums by split come to the driver.
     """
-    sizes = cut(groups.select("group_id", "size").distinct())
-    total = sizes.agg(F.sum("size")).first()[0] or 0
+    sizes = groups.select("group_id", "size").distinct().withColumn("class", F.floor(F.log2("size")).cast("int")).withColumn("draw", F.xxhash64("group_id", F.lit(seed)))
+    sizes = cut(sizes.withColumn("cell", F.expr(f"pmod(shiftright(draw, 20), {CELLS})")))
+    classes = {r["class"]: r["n"] for r in sizes.groupBy("class").agg(F.sum("size").alias("n")).collect()}
+    total = sum(classes.values())
     wanted = [(r["split_name"], float(r["share"])) for r in targets.select("split_name", "share").where("share > 0 AND share < double('infinity') AND split_name IS NOT NULL").groupBy("split_name").agg(F.sum("share").alias("share")).orderBy(F.desc("share"), "split_name").collect()]
     if not wanted or not total:
         return groups.select("id", F.lit(None).cast("string").alias("split_name")).where("false")
+    # Cumulative weight in two steps: over the cells of a class, whose number is fixed, and inside of each cell.
+    cells = sizes.groupBy("class", "cell").agg(F.sum("size").alias("in_cell"))
+    cells = cells.select("class", "cell", (F.sum("in_cell").over(Window.partitionBy("class").orderBy("cell")) - F.col("in_cell")).alias("before"))
+    inside = F.sum("size").over(Window.partitionBy("class", "cell").orderBy("draw", "group_id")) - F.col("size")
+    placed = sizes.withColumn("inside", inside).join(F.broadcast(cells), ["class", "cell"])
+    placed = cut(placed.select("group_id", "size", "class", (F.col("before") + F.col("inside") + F.col("size") / 2).alias("middle")))
     whole = sum(x for _, x in wanted)
     lacking = {name: x / whole * total for name, x in wanted}
-    placed = []
-    for r in sizes.where(F.col("size") >= total * LARGE).orderBy(F.desc("size"), "group_id").collect():
-        name = max(lacking, key=lambda k: lacking[k])
-        lacking[name] -= r["size"]
-        placed.append((r["group_id"], name))
-    spark = groups.sparkSession
-    large = spark.createDataFrame(placed, "group_id bigint, large_split string")
-    left = {k: max(v, 0.0) for k, v in lacking.items()}
-    small = sizes.where(F.col("size") < total * LARGE)
-    rest = small.agg(F.sum("size")).first()[0] or 0
-    bounds, at = [], 0.0
-    for name, _ in wanted:
-        at += left[name] / (sum(left.values()) or 1) * rest
-        bounds.append((name, at))
-    # Cumulative weight in two steps: over the cells, whose number is fixed, and inside of each cell.
-    small = small.withColumn("draw", F.xxhash64("group_id", F.lit(seed))).withColumn("cell", F.expr(f"pmod(shiftright(draw, 20), {CELLS})"))
-    cells = small.groupBy("cell").agg(F.sum("size").alias("in_cell"))
-    cells = cells.select("cell", (F.sum("in_cell").over(Window.orderBy("cell")) - F.col("in_cell")).alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("cell").orderBy("draw", "group_id")) - F.col("size")
-    middle = F.col("before") + F.col("inside") + F.col("size") / 2
-    split = F.lit(bounds[-1][0])
-    for name, end in reversed(bounds[:-1]):
-        split = F.when(middle < end, F.lit(name)).otherwise(split)
-    small = small.withColumn("inside", inside).join(F.broadcast(cells), "cell").select("group_id", split.alias("small_split"))
-    out = groups.join(F.broadcast(large), "group_id", "left").join(small, "group_id", "left")
-    return out.select("id", F.coalesce("large_split", "small_split").alias("split_name"))
+    split = F.lit(None).cast("string")
+    for size_class in sorted(classes, reverse=True):
+        parts = {name: max(x, 0.0) for name, x in lacking.items()}
+        at, ends = 0.0, []
+        for name, _ in wanted:
+            at += parts[name] / (sum(parts.values()) or 1.0) * classes[size_class]
+            ends.append((name, at))
+        here = F.lit(next(name for name, _ in reversed(wanted) if parts[name] > 0 or not any(parts.values())))
+        for name, end in reversed(ends[:-1]):
+            here = F.when(F.col("middle") < end, F.lit(name)).otherwise(here)
+        for r in placed.where(F.col("class") == size_class).groupBy(here.alias("name")).agg(F.sum("size").alias("n")).collect():
+            lacking[r["name"]] -= r["n"]
+        split = F.when(F.col("class") == size_class, here).otherwise(split)
+    return groups.join(placed.select("group_id", split.alias("split_name")), "group_id").select("id", "split_name")
 
 
 def split_shares(assigned: DataFrame, targets: DataFrame) -> DataFrame:

@@ -2,7 +2,11 @@
 
 Recursive radix spilling: the terms' counts, added up within each input split, are written to the shared folder in partitions
 by the first bits of the terms' hashes. A partition with too many rows is divided by the next bits, and so on. Then
-each partition is added up on its own by DuckDB, which spills to disk beyond its memory.
+each partition is added up on its own by DuckDB. Where the shared folder is mounted DuckDB spills to it; elsewhere it works in
+pieces that fit its memory, and no disk of a single machine is used.
+
+Nothing here is bound to a number of tasks: a level is written by as many tasks as the input has, and each partition that is small enough has a
+task of its own.
 """
 
 from __future__ import annotations
@@ -16,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.session import shared_path
+from lexigrid.session import cut, shared_path
 
 #: Bits of the hash in one level, and the bits that there are.
 BITS, ALL_BITS = 6, 60
 #: Rows that a partition may have before it is divided.
 MOST_ROWS = 2_000_000
+#: Rows that are added up at a time where there is no folder to spill to.
+PIECE = 500_000
 #: Memory of a worker's DuckDB.
 MEMORY = "400MB"
 
@@ -64,15 +70,32 @@ def _local_sums(scratch: str):  # noqa: ANN202
         if first is None:
             return
 
+        place = _scratch(scratch)
+
         def again() -> Iterator[pa.RecordBatch]:
             yield first
             yield from batches
 
-        con = _connection(place := _scratch(scratch))
-        con.register("rows_in", pa.RecordBatchReader.from_batches(first.schema, again()))
-        sums = con.sql("SELECT term, CAST(sum(occurrences) AS BIGINT) AS occurrences, count(*) AS records FROM rows_in GROUP BY term")
-        yield from _plain(sums)
-        con.close()
+        def pieces() -> Iterator[pa.RecordBatchReader]:
+            rest = again()
+            if place:
+                yield pa.RecordBatchReader.from_batches(first.schema, rest)
+                return
+            held, n = [], 0
+            for b in rest:
+                held.append(b)
+                n += b.num_rows
+                if n >= PIECE:
+                    yield pa.RecordBatchReader.from_batches(first.schema, held)
+                    held, n = [], 0
+            if held:
+                yield pa.RecordBatchReader.from_batches(first.schema, held)
+
+        for reader in pieces():
+            con = _connection(place)
+            con.register("rows_in", reader)
+            yield from _plain(con.sql("SELECT term, CAST(sum(occurrences) AS BIGINT) AS occurrences, count(*) AS records FROM rows_in GROUP BY term"))
+            con.close()
         _remove(place)
 
     return run
@@ -126,22 +149,25 @@ def summed_terms(counts: DataFrame, most_rows: int = MOST_ROWS, bits: int = BITS
         part = F.shiftright(F.xxhash64("term"), level * bits).bitwiseAND(F.lit(2**bits - 1)).cast("int")
         # The parts above decide too where a row goes, as the same bits stand in many partitions.
         keys = ["part", *(["above"] if level else [])]
-        rows = rows.withColumn("part", part)
-        rows.repartition(2**bits, *keys).write.partitionBy(*reversed(keys)).parquet(path)
+        # Each part is written by several tasks when there are more of them than parts.
+        writers = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        salt = F.pmod(F.xxhash64("term", F.lit(level)), F.lit(max(1, writers * 4 // 2**bits)))
+        rows = rows.withColumn("part", part).withColumn("salt", salt)
+        rows.repartition(max(writers, 2**bits), *keys, "salt").drop("salt").write.partitionBy(*reversed(keys)).parquet(path)
         written = spark.read.schema(f"{_SCHEMA}, above string, part int" if level else f"{_SCHEMA}, part int").parquet(path)
         written = written.select("term", "occurrences", "records", *keys, F.col("_metadata.file_path").alias("file"))
-        above = F.concat_ws("-", *([F.col("above")] if level else []), F.col("part").cast("string"))
-        sizes = written.groupBy(*keys).agg(F.count("*").alias("n"), F.collect_set("file").alias("files")).withColumn("place", above)
-        over = (F.col("n") > most_rows) & F.lit((level + 2) * bits <= ALL_BITS)
-        # There are as many rows here as partitions.
-        sizes = spark.createDataFrame(sizes.select("place", "files", "n", over.alias("over")).collect(), "place string, files array<string>, n bigint, over boolean")
-        whole = sizes.where("NOT over")
-        if n := whole.count():
-            done.append(whole.repartition(min(n, 2**bits)).select("files").mapInArrow(_partition_sums(folder), _SCHEMA))
-        if not sizes.where("over").count():
+        place = F.concat_ws("-", *([F.col("above")] if level else []), F.col("part").cast("string"))
+        files = written.groupBy(*keys, "file").agg(F.count("*").alias("n"))
+        # A row for each partition, with the names of its files.
+        sizes = files.groupBy(*keys).agg(F.sum("n").alias("n"), F.collect_list("file").alias("files")).withColumn("place", place)
+        sizes = cut(sizes.select("place", "files", ((F.col("n") > most_rows) & F.lit((level + 2) * bits <= ALL_BITS)).alias("over")))
+        n = {r["over"]: r["n"] for r in sizes.groupBy("over").agg(F.count("*").alias("n")).collect()}
+        if n.get(False):
+            done.append(sizes.where("NOT over").select("files").repartition(n[False]).mapInArrow(_partition_sums(folder), _SCHEMA))
+        if not n.get(True):
             break
-        large = F.broadcast(sizes.where("over").select(F.col("place").alias("p")))
-        rows = written.withColumn("above", above).join(large, F.col("above") == F.col("p")).select("term", "occurrences", "records", "above")
+        large = sizes.where("over").select(F.col("place").alias("p"))
+        rows = written.withColumn("above", place).join(large, F.col("above") == F.col("p"), "left_semi").select("term", "occurrences", "records", "above")
         level += 1
     return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], _SCHEMA)
 

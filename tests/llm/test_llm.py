@@ -58,9 +58,34 @@ def test_shares_of_many_groups(spark):
         assert abs(r["share"] - r["target_share"]) < 0.002
 
 
+def test_a_giant_group_and_skewed_sizes_keep_the_shares(spark):
+    r = random.Random(3)
+    sizes = [9000, 2500, 700, 700, 300] + [r.choice([1, 1, 1, 2, 5, 30]) for _ in range(4000)]
+    rows, at = [], 0
+    for n in sizes:
+        rows += [(at + i, at, n) for i in range(n)]
+        at += n
+    groups = spark.createDataFrame(rows, "id bigint, group_id bigint, size bigint")
+    targets = spark.createDataFrame([("a", 0.8), ("b", 0.1), ("c", 0.1)], "split_name string, share double")
+    out = splits.assign_splits(groups, targets)
+    assert out.count() == len(rows)
+    assert out.join(groups, "id").groupBy("group_id").agg(F.countDistinct("split_name").alias("n")).where("n > 1").count() == 0
+    for x in splits.split_shares(out, targets).collect():
+        assert abs(x["share"] - x["target_share"]) < 0.001
+    # Groups of all sizes go to every split.
+    assert out.join(groups, "id").where("split_name = 'b' AND size = 30").count() and out.join(groups, "id").where("split_name = 'b' AND size = 1").count()
+
+
 # Problem 2
 
 
+def test_terms_in_many_partitions(spark):
+    n = 5000
+    df = spark.range(n * 3).select(F.concat(F.lit("w"), F.col("id") % n, F.lit(" hot")).alias("t"))
+    got = {r["term"]: (r["occurrences"], r["records"]) for r in terms.summed_terms(terms.term_counts(df, "t"), most_rows=8, bits=5).collect()}
+    assert len(got) == n + 1 and got["hot"] == (3 * n, 3 * n) and set(got[f"w{i}"] for i in range(n)) == {(3, 3)}
+
+
 @pytest.mark.parametrize(("rows", "bits"), [(2_000_000, 6), (3, 2)])
 def test_terms(spark, rows, bits):
     texts = ["A b a", None, "", "c,c;c", "b " * 5000, "b1 é ᓄᓇ"]
@@ -105,8 +130,18 @@ def test_double_codes_keep_the_order(spark):
     xs = sorted({0.0, 5e-324, 2.2e-308, 1.0, 1 - 2**-53, 1 + 2**-52, 1.7976931348623157e308, math.inf, 3.0, 4.0, 0.1})
     xs = [-x for x in reversed(xs) if x] + xs
     df = spark.createDataFrame([(x,) for x in xs], "x double")
-    got = [tuple(r) for r in df.select(*(c.alias(f"c{i}") for i, c in enumerate(topn.double_codes(F.col("x"))))).collect()]
+    got = [r["c"] for r in df.select(topn.double_code(F.col("x")).alias("c")).collect()]
     assert got == sorted(got) and len(set(got)) == len(xs)
+    assert [r["c"] for r in df.select(topn.double_code(F.col("x"), True).alias("c")).collect()] == [-x for x in got]
+
+
+def test_top_n_of_codes_that_span_all_longs(spark):
+    xs = [-math.inf, -1e300, -5e-324, 0.0, 1.0, 1e300, math.inf] * 3
+    rows = [(1, i, "t", x) for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "g bigint, i bigint, t string, x double")
+    for n in (1, 4, 20):
+        got = {r["i"] for r in topn.top_n(df, "g", n, [topn.double_code(F.col("x"))], "t", "i").collect()}
+        assert got == {i for _, i, _, _ in sorted(rows, key=lambda r: (r[3], r[1]))[:n]}
 
 
 def test_replaced_decomps(spark):
@@ -157,6 +192,29 @@ def test_look_alike_pairs(spark):
     assert lookalikes.look_alike_pairs(df.limit(0)).count() == 0
 
 
+def test_skipping_consistent_texts_changes_nothing(spark):
+    r = random.Random(9)
+    kinds = ["aVdLPbqUJ<>", "éÀçßø", "ᐱᐲᕐᒃᑭᖕᒋᖅᑯ᙭", "-.?!() ", "  ", "12"]
+    texts = list({"".join(r.choice(r.choice(kinds)) for _ in range(r.randint(1, 9))) for _ in range(6000)})
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    clean = df.where(consistent.is_consistent(F.col("t")))
+    assert clean.count() > 300
+    through = consistent._through_code_points(spark, clean.select(F.col("id").alias("__k0"), F.col("t").alias("__text")), ["__k0"], "form")
+    got = {x["__k0"]: x["form"] for x in through.collect()}
+    assert all(got[x["id"]] == x["t"] for x in clean.collect())
+    # A composed letter between a sign and a look-alike.
+    two = spark.createDataFrame([(1, "ᑭéd"), (2, "ᑭe\u0301d")], "id bigint, t string")
+    assert len({x["f"] for x in consistent.consistent_form(two, ["id"], "t", "f").collect()}) == 1
+
+
+def test_look_alike_classes(spark):
+    rows = [(i, "x", t) for i, t in enumerate(["cafe", "cаfe", "cafe", "other", None, "", "cаfe"])] + [(i, "y", "cafe") for i in range(3)]
+    df = spark.createDataFrame(rows, "id bigint, field string, text string")
+    got = {(r["field"], r["id"]): (r["class_id"], r["partners"]) for r in lookalikes.look_alike_classes(df).collect()}
+    assert got == {("x", 0): (0, 2), ("x", 1): (0, 2), ("x", 2): (0, 2), ("x", 6): (0, 2)}
+    assert lookalikes.look_alike_classes(df.limit(0)).count() == 0
+
+
 # Problem 7
 
 
@@ -226,6 +284,16 @@ def test_mixture(spark):
     assert mixture.mixture(df.limit(0), targets).count() == 0 and mixture.mixture(df, targets.limit(0)).count() == 0
 
 
+def test_a_short_source_is_made_up_by_its_domain(spark):
+    docs = [(i, "word " * 10, "en", s) for i, s in enumerate(["a"] * 50 + ["b"] * 500 + ["c"] * 500)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")
+    targets = spark.createDataFrame([("a", 0.4, 1, "d"), ("b", 0.1, 2, "d"), ("c", 0.5, 1, None)], "source string, target_share double, max_repeats int, domain string")
+    sums = {r["source"]: r["n"] for r in mixture.mixture(df, targets, total=5000.0, languages={}).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n")).collect()}
+    # The domain keeps its half, although a has a tenth of its part.
+    each = 5000 / sum(sums.values())
+    assert abs(sums["c"] * each - 2500) < 60 and abs((sums["a"] + sums["b"]) * each - 2500) < 60 and sums["b"] > sums["a"]
+
+
 # Problem 9
 
 
