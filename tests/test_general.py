@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexigrid.operators.multivalue import PACKED_FIELDS, Segmenter, split_values
+from lexigrid.operators.multivalue import PACKED_FIELDS, FieldSpec, Segmenter, split_values
 from lexigrid.operators.recover import NOUN_ENDING_FIELDS, Fault, noun_endings, parse_file, parse_line
 
 VARIANT, COMBINATION, SOURCE, CF = PACKED_FIELDS
@@ -40,6 +40,32 @@ def test_values_are_pieces_of_the_text(text):
         assert v and v.replace('"', "") in text.replace('"', "")
 
 
+IDS = FieldSpec("t", "row_id", "f", ",;", "", "/", r"[^\s/]+/[a-z0-9]+")
+PLACES = FieldSpec("t", "row_id", "f", ",;", quoted=True)
+
+
+def _values(rows, spec, **more):
+    return sorted((r["row_id"], r["pos"], r["val"]) for r in split_values(rows, spec, **more).collect())
+
+
+def test_the_dictionary_decides_and_both_ways_of_it_agree(spark):
+    rows = spark.createDataFrame([(1, "ab/1v"), (2, "cd/2n; ab/1v"), (3, "ab/1v/cd/2n"), (4, "ab/1v/xx"), (5, "x/y/z")], "row_id bigint, f string")
+    want = [(1, 1, "ab/1v"), (2, 1, "cd/2n"), (2, 2, "ab/1v"), (3, 1, "ab/1v"), (3, 2, "cd/2n"), (4, 1, "ab/1v/xx"), (5, 1, "x/y/z")]
+    assert _values(rows, IDS) == want == _values(rows, IDS, most_bytes=0)
+    # Without the rows that vouch for the values the slashes separate nothing.
+    assert _values(rows.where("row_id = 3"), IDS) == [(3, 1, "ab/1v/cd/2n")]
+    # What stands in quotes somewhere keeps its blank and its comma elsewhere.
+    rows = spark.createDataFrame([(1, '"Upper Bay, north"'), (2, "x, Upper Bay, north; y"), (3, "Upper Bay")], "row_id bigint, f string")
+    want = [(1, 1, "Upper Bay, north"), (2, 1, "x"), (2, 2, "Upper Bay, north"), (2, 3, "y"), (3, 1, "Upper"), (3, 2, "Bay")]
+    assert _values(rows, PLACES) == want == _values(rows, PLACES, most_bytes=0)
+
+
+def test_more_known_values_than_a_broadcast_takes(spark):
+    rows = spark.range(30_000).selectExpr("id AS row_id", "IF(id % 2 = 0, concat('v', id, '/1n'), concat('v', id - 1, '/1n/v', id - 1, '/1n')) AS f")
+    for size in (1 << 30, 1000):
+        assert split_values(rows, IDS, most_bytes=size).count() == 45_000
+
+
 def test_split_values_of_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, " \n", None), (4, "a a", "x"), (4, "a a", "x"), (5, "b," * 20000, None)], "row_id bigint, variant string, val string")
     got = split_values(rows, VARIANT).collect()
