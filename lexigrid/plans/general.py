@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexigrid.operators.multivalue import packed_values
-from lexigrid.operators.recover import NOUN_ENDING_FIELDS, noun_endings
+from lexigrid.operators.recover import NOUN_ENDING_FIELDS, noun_endings, typed_endings
 from lexigrid.session import table
 
 
@@ -25,7 +26,13 @@ def p6_records(spark: SparkSession, sf: str) -> DataFrame:
     return _endings(spark, sf).where("reason IS NULL").select("line_id", *(f"`{n}`" for n in NOUN_ENDING_FIELDS))
 
 
-queries = {f.__name__: f for f in (p3_found, p6_found, p6_records)}
+def p6_typed(spark: SparkSession, sf: str) -> DataFrame:
+    """The good lines as typed records: number of persons, forms and conditions of each."""
+    rows = typed_endings(_endings(spark, sf).where("reason IS NULL"))
+    return rows.select("line_id", "perPoss", "`V-form`", F.size("V-action1").cast("long").alias("actions"), F.expr("transform(condPrec, c -> concat(IF(c.negated, 'not ', ''), c.attr, '=', c.val))").alias("conditions"), "sources")
+
+
+queries = {f.__name__: f for f in (p3_found, p6_found, p6_records, p6_typed)}
 
 
 def _values(table_name: str, field: str, delimiters: str) -> str:
@@ -63,4 +70,9 @@ oracles = {
     "p3_found": " UNION ALL ".join(_values(*x) for x in (("locations", "variant", ",;|/"), ("undecomposable_composite_words", "combination", ",;|+{}"), ("roots_schneider", "source", ",;|/&+"), ("roots_schneider", "cf", ",;|"))),
     "p6_found": _FIELDS + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p6_records": _FIELDS + "SELECT line_id, " + ", ".join(f'f[{i}] AS "{n}"' for i, n in enumerate(NOUN_ENDING_FIELDS, 1)) + " FROM judged WHERE reason IS NULL",
+    "p6_typed": _FIELDS
+    + """SELECT line_id, TRY_CAST(f[5] AS INT) AS "perPoss", string_split(f[7], ' ') AS "V-form", CAST(len(string_split(f[8], ' ')) AS BIGINT) AS actions,
+  CASE WHEN f[19] <> '' THEN list_transform(string_split(f[19], ','), lambda c: CASE WHEN c[1] = '!' THEN 'not ' ELSE '' END || replace(ltrim(c, '!'), ':', '=')) END AS conditions,
+  CASE WHEN f[20] <> '' THEN list_transform(string_split(f[20], ','), lambda x: trim(x)) END AS sources
+  FROM judged WHERE reason IS NULL""",
 }

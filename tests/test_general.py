@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexigrid.operators.multivalue import PACKED_FIELDS, FieldSpec, Segmenter, split_values
-from lexigrid.operators.recover import NOUN_ENDING_FIELDS, Fault, noun_endings, parse_file, parse_line
+from lexigrid.operators.recover import NOUN_ENDING_FIELDS, Fault, noun_endings, parse_file, parse_files, parse_line, recovered
 
 VARIANT, COMBINATION, SOURCE, CF = PACKED_FIELDS
 
@@ -93,7 +93,30 @@ def test_file_recovers_at_the_next_good_line():
     text = 'a,b\n"c\nd",e\n"broken,f\ng,h\ni\nj,k\n'
     records, faults = parse_file(text, 2)
     assert [f for _, f in records] == [["a", "b"], ["c\nd", "e"], ["g", "h"], ["j", "k"]]
-    assert [f.reason for f in faults] == ["quoting", "columns"]
+    assert [f.reason for _, f in faults] == ["quoting", "columns"]
+
+
+def test_parse_files_with_lines_inside_of_quotes_and_broken_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n"c\nd",e\n"f,g\nh,i\nx\n\n"j ""k""",l\n\n')
+    (tmp_path / "b.csv").write_text("")
+    got = [(r["line"], r["x"], r["y"], r["reason"]) for r in parse_files(spark, str(tmp_path), ["x", "y"]).orderBy("line").collect()]
+    assert got == [(1, "a", "b", None), (2, "c\nd", "e", None), (4, None, None, "quoting"), (5, "h", "i", None), (6, None, None, "columns"), (8, 'j "k"', "l", None)]
+
+
+def test_recovery_takes_time_in_proportion_to_the_text():
+    # A quote that is never closed, and no valid record after it.
+    lines = ["a,b"] * 1000 + ['"x,y'] + ["z"] * 300_000 + ["c,d"]
+    got = list(recovered(lines, 2, most_lines=1_000_000))
+    assert [n for n, r in got if isinstance(r, list)] == [*range(1000), 301_001] and len(got) == 1002
+    assert len(list(recovered(['"x,"'] * 20_000, 2))) <= 20_000
+
+
+@pytest.mark.parametrize("most", [8 << 20, 0])
+def test_action_codes_of_any_number(spark, most):
+    rows = spark.createDataFrame([(i, _line(**{"V-form": "mut", "V-action1": f"a{i}", "condPrec": "" if i % 3 else "!"})) for i in range(12_000)], "line_id bigint, line string")
+    actions = spark.range(11_000).selectExpr("concat('a', id) AS code")
+    got = {r["reason"]: r["n"] for r in noun_endings(rows, actions, most).groupBy("reason").count().withColumnRenamed("count", "n").collect()}
+    assert got == {None: 7333, "condprec": 3667, "v-action1": 1000}
 
 
 def _line(**changed):
