@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexigrid.llm.topn import double_codes, int_code, top_n
+from lexigrid.llm.topn import double_code, int_code, top_n
 
 
 def usable(candidates: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def best_analyses(candidates: DataFrame, n: int = 3) -> DataFrame:
     code point, cand_id ascending. Infinite scores are ordinary ones; an infinite score comes first. cand_id is unique.
     """
     rows = usable(candidates)
-    return top_n(rows, "word_id", n, [*double_codes(F.col("score"), descending=True), int_code(F.col("native_rank"))], "decomp", "cand_id")
+    return top_n(rows, "word_id", n, [double_code(F.col("score"), descending=True), int_code(F.col("native_rank"))], "decomp", "cand_id")
 
 
 def replaced_decomps(candidates: DataFrame, words: DataFrame, n: int = 3) -> DataFrame:

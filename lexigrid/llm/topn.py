@@ -25,18 +25,17 @@ HOT = 1 / 1000
 CHUNK = 7
 
 
-def double_codes(x: Column, descending: bool = False) -> list[Column]:
-    """Two codes (sign with exponent, mantissa) in the order of a double that isn't null or not-a-number; -0.0 equals 0.0."""
+def double_code(x: Column, descending: bool = False) -> Column:
+    """One code, sign by magnitude of the bits, in the order of a double that isn't null or not-a-number; -0.0 equals 0.0."""
     size = F.abs(x)
     guess = F.floor(F.log2(size))
     # log2 may round across a power of two.
     e = guess + F.when(size < F.pow(F.lit(2.0), guess), -1).when(size >= F.pow(F.lit(2.0), guess + 1), 1).otherwise(0)
     m = F.when(e > 1022, size / 2 / F.pow(F.lit(2.0), e - 1)).otherwise(size / F.pow(F.lit(2.0), e))
-    sign = F.when(x < 0, -1).otherwise(1) * (-1 if descending else 1)
-    infinite = size == float("inf")
-    first = F.when(x == 0, 0).when(infinite, sign * 9999).otherwise(sign * (e + 1100))
-    second = F.when((x == 0) | infinite, 0).otherwise(sign * ((m - 1) * float(2**52)).cast("long"))
-    return [first.cast("long"), second.cast("long")]
+    usual = F.shiftleft((e + 1023).cast("long"), 52) + ((m - 1) * float(2**52)).cast("long")
+    # Below the least usual double the steps are equal.
+    bits = F.when(x == 0, F.lit(0).cast("long")).when(size == float("inf"), F.lit(2047 << 52)).when(size < 2.0**-1022, (size * 2.0**537 * 2.0**537).cast("long")).otherwise(usual)
+    return F.when((x < 0) != F.lit(descending), -bits).otherwise(bits)
 
 
 def long_codes(x: Column, descending: bool = False) -> list[Column]:
@@ -70,6 +69,7 @@ def top_n(rows: DataFrame, group: str, n: int, codes: list[Column], text: str, i
     last = [c.alias(f"__t{i}") for i, c in enumerate([*(then or []), *long_codes(F.col(identifier))])]
     base = rows.where(F.col(group).isNotNull()).select(F.col(group).alias("__g"), F.col(identifier).alias("__id"), F.col(text).alias("__text"), *named, *last)
     base = cut(base)
+    texts = base.select("__id", "__text")
     sizes = cut(base.groupBy("__g").agg(F.count("*").alias("__n")))
     total = sizes.agg(F.sum("__n")).first()[0] or 0
     small = base.join(sizes.where(F.col("__n") <= n).select("__g"), "__g", "left_semi")
@@ -78,12 +78,12 @@ def top_n(rows: DataFrame, group: str, n: int, codes: list[Column], text: str, i
     out = [small.select("__g", "__id")]
     for hot in (True, False):
         live = base.join(hot_groups, "__g", "left_semi") if hot else base.join(large.where("NOT __hot").select("__g"), "__g", "left_semi")
-        out += _bisect(live.withColumn("__need", F.lit(n).cast("long")), n, len(codes), len(last), hot)
+        out += _bisect(live.drop("__text").withColumn("__need", F.lit(n).cast("long")), texts, len(codes), len(last), hot)
     return reduce(DataFrame.unionByName, out).select(F.col("__g").alias(group), F.col("__id").alias(identifier))
 
 
-def _bisect(live: DataFrame, n: int, n_codes: int, n_last: int, hot: bool) -> list[DataFrame]:
-    """The winners, in parts, of groups with more than n rows."""
+def _bisect(live: DataFrame, texts: DataFrame, n_codes: int, n_last: int, hot: bool) -> list[DataFrame]:
+    """The winners, in parts, of groups with more rows than needed. Texts join the rows only when all codes before are equal."""
     won: list[DataFrame] = []
     live = cut(live)
     if live.isEmpty():
@@ -92,14 +92,15 @@ def _bisect(live: DataFrame, n: int, n_codes: int, n_last: int, hot: bool) -> li
     while True:
         if level >= n_codes and longest is None:
             # Texts of the rows still undecided, by far the fewest, bound the number of text codes.
+            live = cut(live.join(texts, "__id"))
             longest = live.agg(F.max(F.octet_length("__text"))).first()[0] or 0
-        texts = 0 if longest is None else longest // CHUNK + 1
+        n_texts = 0 if longest is None else longest // CHUNK + 1
         if level < n_codes:
             code = F.col(f"__c{level}")
-        elif level < n_codes + texts:
+        elif level < n_codes + n_texts:
             code = text_code(F.col("__text"), level - n_codes)
-        elif level < n_codes + texts + n_last:
-            code = F.col(f"__t{level - n_codes - texts}")
+        elif level < n_codes + n_texts + n_last:
+            code = F.col(f"__t{level - n_codes - n_texts}")
         else:
             raise ValueError("the identifier isn't unique within its group")
         held: list[DataFrame] = []
@@ -118,6 +119,8 @@ def _bisect(live: DataFrame, n: int, n_codes: int, n_last: int, hot: bool) -> li
             return won
         live = reduce(DataFrame.unionByName, held)
         level += 1
+        # A code that has decided is no more carried along.
+        live = live.drop(f"__c{level - 1}")
 
 
 def _pass(live: DataFrame, code: Column, hot: bool) -> DataFrame:
@@ -125,7 +128,9 @@ def _pass(live: DataFrame, code: Column, hot: bool) -> DataFrame:
     small = F.broadcast if hot else (lambda x: x)
     live = live.withColumn("__code", code)
     bounds = live.groupBy("__g").agg(F.min("__code").alias("__lo"), F.max("__code").alias("__hi"))
-    celled = live.join(small(bounds), "__g").withColumn("__cell", F.expr(f"(__code - __lo) DIV ((__hi - __lo) DIV {CELLS} + 1)"))
+    # The width of a cell; codes may lie further apart than a long can say.
+    bounds = bounds.withColumn("__step", F.expr(f"__hi DIV {CELLS} - __lo DIV {CELLS} + 1"))
+    celled = live.join(small(bounds), "__g").withColumn("__cell", F.expr("__code DIV __step - __lo DIV __step")).drop("__step")
     counts = celled.groupBy("__g", "__cell").agg(F.count("*").alias("__in"), F.first("__need").alias("__want"))
     counts = counts.withColumn("__upto", F.sum("__in").over(Window.partitionBy("__g").orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)))
     at = counts.where("__upto >= __want AND __upto - __in < __want")
