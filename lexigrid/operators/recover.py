@@ -136,7 +136,7 @@ def recovered(lines: Iterable[str], width: int, delimiter: str = ",", most_lines
 def parse_file(text: str, width: int, delimiter: str = ",") -> tuple[list[tuple[int, list[str]]], list[tuple[int, Fault]]]:
     """(line, fields) of the valid records of a text and (line, fault) of the others, by recovered."""
     records, faults = [], []
-    for line, result in recovered(text.split("\n") if text else [], width, delimiter):
+    for line, result in recovered(text.removesuffix("\n").split("\n") if text else [], width, delimiter):
         (faults if isinstance(result, Fault) else records).append((line, result))
     return records, faults
 
