@@ -39,11 +39,9 @@ OPTIONAL = 0.4
 #: Smoothed part of a piece's occurrences at a word's end from which on it may end a word that is found nowhere else.
 ENDING = 0.08
 #: Lengths of the pieces.
-PIECES = (2, 3, 4, 5, 6)
+PIECES = (2, 3, 4, 5)
 #: Places in a clause that are told apart.
 PLACES = 12
-#: Lines of a source that end with a character are regular from this part of them on; below RARE they are strays.
-REGULAR, RARE = 0.05, 0.004
 #: Rows of one end that one task joins, roughly.
 BLOCK = 4096
 #: What is known of an end.
@@ -51,7 +49,7 @@ END = ["before2", "before", "word", "first", "place"]
 #: Blanks at the ends of a text.
 BLANKS = " \t\n\v\f\r\x85                 　"
 
-_MARKS_AT_END = rf"[{MARK};:,]+[”\x22»)\]’]*$"
+AROUND = ".!?…;:,”\"»)]}’'“«(["
 #: Where a clause ends: at a line's end, before a slash or an emoji, after a mark.
 _CLAUSES = rf"\n| / | (?=[{EMOJI}])|(?<=[{MARK};:,][”\x22»)\]’]{{0,2}}) "
 
@@ -65,27 +63,27 @@ def folded(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(out, "".join(pairs), "".join(pairs.values())), "  +", " "), F.lit(BLANKS))
 
 
-def _masked(word: Column) -> Column:
-    """Lower case; digits count by their places, a whole number counts as one."""
-    return F.when(word.rlike(r"^\p{Nd}+$"), "0").otherwise(F.regexp_replace(F.lower(word), r"\p{Nd}", "0"))
+def _masked(f: Column) -> Column:
+    """f in lower case with digits counted by their places alone; a number counts as one digit."""
+    return F.regexp_replace(F.translate(F.lower(f), "123456789", "0" * 9), r"(?<![^ \n(])0+(?![^ \n.,;:!?…)])", "0")
 
 
 def _bare(word: Column) -> Column:
     """A word without the marks and brackets around it; marks alone stay."""
-    out = F.regexp_replace(F.regexp_replace(word, _MARKS_AT_END, ""), rf"^[“«(\[\x22]+|[{CLOSER}]+$", "")
-    return _masked(F.when(out == "", word).otherwise(out))
+    out = F.trim(word, F.lit(AROUND))
+    return F.when(out == "", word).otherwise(out)
 
 
-def _clauses(f: Column) -> Column:
-    """The clauses of a text; numbers of a list's items are left out."""
-    return F.split(F.regexp_replace(f, r"(?m)^\p{Nd}{1,3}[.)] ", ""), _CLAUSES)
+def _clauses(g: Column) -> Column:
+    """The clauses of a masked text; numbers of a list's items are left out."""
+    return F.filter(F.split(F.regexp_replace(g, r"(?m)^0[.)] ", ""), _CLAUSES), lambda x: x != "")
 
 
 def _words(docs: DataFrame) -> DataFrame:
     """(first, place, before2, before, word, closed, last) of every word: first is the first word of its clause and place its number there, before
     and before2 are the words before it (^ where there is none), closed whether it ends a clause inside of the text, last whether it ends the text.
     """
-    rows = docs.select(F.posexplode(F.filter(_clauses(F.col("f")), lambda x: x != "")).alias("i", "clause"), F.size(F.filter(_clauses(F.col("f")), lambda x: x != "")).alias("n"))
+    rows = docs.select(_clauses(F.col("g")).alias("c")).select(F.posexplode("c").alias("i", "clause"), F.size("c").alias("n"))
     rows = rows.select((F.col("i") == F.col("n") - 1).alias("final"), F.filter(F.split("clause", " +"), lambda x: x != "").alias("w")).where(F.size("w") > 0)
     rows = rows.select("final", F.transform("w", _bare).alias("w"))
     each = F.expr("transform(w, (x, i) -> named_struct('word', x, 'before', IF(i = 0, '^', w[i - 1]), 'before2', IF(i < 2, '^', w[i - 2])))")
@@ -142,9 +140,9 @@ def judged(documents: DataFrame) -> DataFrame:
     """
     stored = F.col("text")
     # Written, as several passes read it.
-    base = cut(documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length(stored).alias("chars"), F.octet_length(stored).alias("bytes"), folded(stored).alias("f")).withColumn("h", F.xxhash64("f")))
+    base = cut(documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length(stored).alias("chars"), F.octet_length(stored).alias("bytes"), folded(stored).alias("f")).withColumns({"h": F.xxhash64("f"), "g": _masked(F.col("f"))}))
     docs = base.where("f <> ''")
-    texts = docs.select("f").distinct()
+    texts = docs.groupBy("f").agg(F.first("g").alias("g"))
     said = cut(_words(texts))
     sums = [F.sum((~F.col("last")).cast("long")).alias("total"), F.sum(F.col("closed").cast("long")).alias("closing"), F.sum(F.col("last").cast("long")).alias("lasts"), F.count("*").alias("n")]
     again = lambda rows, *keys: rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("total", "closing", "lasts", "n")])
@@ -161,17 +159,14 @@ def judged(documents: DataFrame) -> DataFrame:
     for a, b in ("()", "“”", "«»", "{}", "[]"):
         opened = opened | (F.locate(a, F.reverse(line)) > 0) & ((F.locate(b, F.reverse(line)) == 0) | (F.locate(a, F.reverse(line)) < F.locate(b, F.reverse(line))))
     item = F.col("f").rlike(r"\n\p{Nd}{1,3}[.)]$")
-    whole_line = F.transform(F.filter(F.split(F.element_at(F.filter(_clauses(F.col("f")), lambda x: x != ""), -1), " +"), lambda x: x != ""), _bare)
+    # The last clause is in the last line.
+    last_clause = F.element_at(_clauses(F.substring_index("g", "\n", -1)), -1)
     ends = docs.select(
         "doc_id", "source", "chars", "bytes", "h", "f",
         F.when(opened, "open").when(end == "�", "bytes").when(end.rlike("[,;:–/—-]"), "joint").when(item, "number").alias("reason"),
-        F.substring("f", -2, 2).rlike(r"\p{Nd}\.").alias("number"),
         F.col("f").rlike(rf"(?:[{MARK}][{CLOSER}]*|[{EMOJI}])$").alias("marked"),
         end.rlike(rf"[{CLOSER}]").alias("closer"),
-        end.alias("end"),
-        F.regexp_extract("f", r"([^ \n]*)$", 1).alias("full"),
-        _masked(F.regexp_extract(line, r"^([^ ]*)", 1)).alias("line_first"),
-        whole_line.alias("w"),
+        F.transform(F.filter(F.split(last_clause, " +"), lambda x: x != ""), _bare).alias("w"),
     )
     ends = ends.where(F.size("w") > 0).withColumns({"word": F.element_at("w", -1), "before": F.coalesce(F.try_element_at("w", F.lit(-2)), F.lit("^")), "before2": F.coalesce(F.try_element_at("w", F.lit(-3)), F.lit("^")), "first": F.get("w", F.lit(0)), "place": F.least(F.size("w") - 1, F.lit(PLACES))}).drop("w")
     goes_on = longer_copies(texts).select(F.xxhash64("f").alias("h"), F.regexp_extract("rest", rf"^(?:[\p{{L}}\p{{M}}\p{{N}}]| (?![/{EMOJI}]))", 0).alias("goes_on")).where("goes_on <> ''")
@@ -214,7 +209,7 @@ def judged(documents: DataFrame) -> DataFrame:
     )
     part = lambda i, prior, p: smooth(n(f"lasts{i}"), n(f"lasts{i}") + n(f"total{i}") + n(f"longer{i}"), prior, p)
     known = known.select(*END, (part(2, PRIOR, part(1, PRIOR, F.lit(0.0))) >= FORMULA_PART).alias("formula"), says.alias("says"), (says.isNull() & ~unseen & (closes >= COMPLETE)).alias("sure"))
-    open_ends = ends.where("reason IS NULL AND NOT marked").drop("reason", "marked", "number", "full", "line_first", "f")
+    open_ends = ends.where("reason IS NULL AND NOT marked").drop("reason", "marked", "f")
     # One end may close a third of all texts: the rows are joined by distinct texts' ends, and its copies over salts by need.
     hot = open_ends.groupBy(*END).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
     known = known.join(hot, END).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
