@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 PART = r"\{([^:{}]*):([^/{}]*)/([^{}]*)\}"
 #: Ids of the endings of nouns and verbs.
 ENDING = r"^t[nv]-"
+#: Ids of all endings, of suffixes that derive, and of enclitics.
+ENDINGS, DERIV, ENCLITIC = r"^(?:tn|tv|tad|tpd)-", r"^[0-9]+(?:vn|nv|vv|nn)$", r"^[0-9]+q$"
 
 
 def part_column(decomp: Column, k: int) -> Column:
@@ -45,9 +47,49 @@ def surface(decomp: Column) -> Column:
 
 
 def stem(ks: Column) -> Column:
-    """The keys before the first ending."""
-    first = F.array_position(F.transform(ks, lambda x: F.substring_index(x, "/", -1).rlike(ENDING)), True)
-    return F.when(first > 0, F.slice(ks, 1, (first - 1).cast("int"))).otherwise(ks)
+    """The keys before the first ending, without enclitics at the end."""
+    ids = F.transform(ks, lambda x: F.substring_index(x, "/", -1))
+    first = F.array_position(F.transform(ids, lambda x: x.rlike(ENDING)), True)
+    kept = F.array_position(F.transform(F.reverse(ids), lambda x: ~x.rlike(ENCLITIC)), True)
+    end = F.when(first > 0, first - 1).when(kept > 0, F.size(ks) - kept + 1).otherwise(0)
+    return F.slice(ks, F.lit(1), end.cast("int"))
+
+
+def endings(ids: Column) -> Column:
+    return F.filter(ids, lambda x: x.rlike(ENDINGS))
+
+
+def enclitics(ids: Column) -> Column:
+    return F.filter(ids, lambda x: x.rlike(ENCLITIC))
+
+
+def tier(ids: Column) -> Column:
+    """0 for a word without ending and enclitic, 1 for one with enclitics alone, 2 for others."""
+    return F.when(F.size(endings(ids)) > 0, 2).when(F.size(enclitics(ids)) > 0, 1).otherwise(0)
+
+
+def ending_kind(ids: Column) -> Column:
+    """struct(kind, mood, valency) of the last ending: bare, n, or v with its mood and whether it has an object."""
+    last = F.try_element_at(endings(ids), F.lit(-1))
+    parts = F.split(last, "-")
+    verb = last.startswith("tv-")
+    return F.struct(
+        F.when(last.isNull(), "bare").when(verb, "v").otherwise("n").alias("kind"), F.when(verb, F.get(parts, F.lit(1))).alias("mood"), F.when(verb, F.when(F.size(parts) >= 4, "tr").otherwise("itr")).alias("valency"),
+    )
+
+
+def base_relation(base: Column, member: Column) -> Column:
+    """How an inflected form relates to its base, by the ids of both."""
+    b, m = ending_kind(base), ending_kind(member)
+    both = (b["kind"] == "v") & (m["kind"] == "v")
+    return (
+        F.when((b["kind"] == "bare") & (m["kind"] == "bare"), "enclitic-only")
+        .when(both & (m["mood"] != b["mood"]), "verbal-mood-change")
+        .when(both & (m["valency"] != b["valency"]), "verbal-valency-change")
+        .when(both, "verbal-agreement")
+        .when(m["kind"] == "v", "verbal-inflection")
+        .otherwise("nominal-inflection")
+    )
 
 
 def category(identifier: Column) -> Column:

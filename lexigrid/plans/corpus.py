@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from lexigrid.functions import text as X
 from lexigrid.functions.script import roman_column, romans
 from lexigrid.operators.lookup import concordance, longest_prefix, word_index
+from lexigrid.operators.ranks import numbered
 from lexigrid.plans.registry import Registry
 from lexigrid.session import table
 
@@ -33,15 +34,11 @@ def a02_word_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(f"SELECT word, row_number() OVER (ORDER BY first, word) AS word_id FROM (SELECT word, min(id) AS first FROM ({_TOKENS}) GROUP BY word)")
 def a03_word_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """Dense ids in the order in which words are first seen. Ranges of first are numbered on their own and shifted by the sizes of
+    """Dense ids in the order in which words are first seen. Ranges of words are numbered on their own and shifted by the sizes of
     those before, so that no task sees all words.
     """
-    first = _tokens(spark, sf).groupBy("word").agg(F.min("id").alias("first"))
-    first = first.withColumn("block", F.expr("first DIV 512"))
-    blocks = first.groupBy("block").agg(F.count("*").alias("n"))
-    blocks = blocks.select("block", (F.sum("n").over(W.orderBy("block")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(W.partitionBy("block").orderBy("first", "word"))
-    return first.withColumn("inside", inside).join(blocks, "block").select("word", (F.col("before") + F.col("inside")).alias("word_id"))
+    first = _tokens(spark, sf).groupBy("word").agg(F.min("id").alias("first")).withColumn("all", F.lit(0))
+    return numbered(first, "all", ["first", "word"], "word_id").select("word", "word_id")
 
 
 @R.query(f"""

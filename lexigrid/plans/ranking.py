@@ -41,7 +41,7 @@ def x14_surfaces_rebuild_word(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("case_id", D.surface(d).alias("surface"), F.coalesce(D.surface(d) == F.lower("word"), F.lit(False)).alias("rebuilds"), D.without_surfaces(d).alias("bare"))
 
 
-_STEM = f"list_slice(k, 1, coalesce(list_position(list_transform(k, lambda x: regexp_matches(split_part(x, '/', 2), '^t[nv]-')), true) - 1, len(k)))"
+_STEM = "list_slice(k, 1, coalesce(list_position(list_transform(k, lambda x: regexp_matches(split_part(x, '/', 2), '^t[nv]-')), true) - 1, len(k) - coalesce(list_position(list_transform(list_reverse(k), lambda x: NOT regexp_matches(split_part(x, '/', 2), '^[0-9]+q$')), true) - 1, len(k))))"
 
 
 @R.query(f"SELECT array_to_string({_STEM}, ' ') AS stem, count(*) AS n, count(DISTINCT word_id) AS words FROM (SELECT word_id, {_KEYS} AS k FROM ({_C})) GROUP BY 1")
@@ -100,12 +100,13 @@ def a07_coverage_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.query(f"""
-WITH f AS ({_AFF}), n AS (SELECT a, row_number() OVER (ORDER BY count(*) DESC, a) AS rank FROM (SELECT unnest(affixes) AS a FROM f) GROUP BY a),
-m AS (SELECT word_id, a FROM (SELECT word_id, unnest(affixes) AS a FROM f) JOIN n USING (a) WHERE rank > 10), one AS (SELECT word_id, min(a) AS a FROM m GROUP BY word_id HAVING count(*) = 1)
-SELECT a AS affix, count(*) AS words FROM one GROUP BY a""")
+WITH f AS ({_AFF}), top AS (SELECT a FROM (SELECT a, row_number() OVER (ORDER BY count(*) DESC, a) AS rank FROM (SELECT unnest(affixes) AS a FROM f) GROUP BY a) WHERE rank <= 10),
+c AS (SELECT word_id, native_rank, cand_id, list_filter(list_distinct(list_transform(k[2:], lambda x: {_AFFIX})), lambda x: NOT list_contains(l, x)) AS missing FROM (SELECT *, {_KEYS} AS k FROM ({_C})), (SELECT list(a) AS l FROM top)),
+least AS (SELECT word_id, arg_min(missing, (len(missing), native_rank, cand_id)) AS missing FROM c GROUP BY word_id)
+SELECT missing[1] AS affix, count(*) AS words FROM least WHERE len(missing) = 1 GROUP BY 1""")
 def a08_next_affix(spark: SparkSession, sf: str) -> DataFrame:
     """Words that lack one affix alone when the ten most frequent of the first analyses are supported, by that affix. Of all analyses
-    of a word the one with the fewest missing affixes counts, the first of equals; the SQL looks at the first analysis alone.
+    of a word the one with the fewest missing affixes counts, the first of equals.
     """
     words = _first(spark, sf).select(F.explode("affixes").alias("affix"))
     top = words.groupBy("affix").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "affix").limit(10).agg(F.collect_list("affix").alias("top"))
@@ -210,6 +211,23 @@ def w09_relative_score(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("cand_id", F.round(F.col("score") / F.nullif(F.col("best"), F.lit(0.0)), 6).alias("of_best"), "level")
 
 
+@R.query(f"SELECT word_id, count_if(score = best) = 1 AS unique_best, round(any_value(best) - max(CASE WHEN score < best THEN score END), 6) AS to_next FROM (SELECT word_id, score, max(score) OVER (PARTITION BY word_id) AS best FROM ({_GOOD}) WHERE NOT isinf(score)) GROUP BY word_id")
+def w09_lead_of_best(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether one candidate alone has the best score of its word, and how far the next level is; from the counts of the levels."""
+    levels = _good(spark, sf).where("abs(score) < double('infinity')").groupBy("word_id", "score").agg(F.count("*").alias("n"))
+    best = levels.groupBy("word_id").agg(F.max(F.struct("score", "n")).alias("b"))
+    out = levels.join(best, "word_id").groupBy("word_id", "b").agg(F.max(F.when(F.col("score") < F.col("b.score"), F.col("score"))).alias("next"))
+    return out.select("word_id", (F.col("b.n") == 1).alias("unique_best"), F.round(F.col("b.score") - F.col("next"), 6).alias("to_next"))
+
+
+@R.query(f"SELECT word_id, arg_max(cand_id, (score, -native_rank, -cand_id)) AS cand_id FROM (SELECT *, row_number() OVER (PARTITION BY word_id ORDER BY n_parts, native_rank, cand_id) AS h FROM ({_GOOD})) WHERE h <= 3 GROUP BY word_id")
+def w12_best_of_hand_top(spark: SparkSession, sf: str) -> DataFrame:
+    """The best by score among the first three of the hand-made order, which are cut in each task before the shuffle."""
+    order = W.partitionBy("word_id").orderBy("n_parts", "native_rank", "cand_id")
+    rows = _good(spark, sf).select("word_id", "cand_id", "native_rank", "score", "n_parts").withColumn("h", F.row_number().over(order)).where("h <= 3")
+    return rows.groupBy("word_id").agg(F.max_by("cand_id", F.struct("score", -F.col("native_rank"), -F.col("cand_id"))).alias("cand_id"))
+
+
 @R.query(f"SELECT word_id, min_by(cand_id, (r + 2 * h, native_rank, cand_id)) AS cand_id FROM (SELECT *, row_number() OVER (PARTITION BY word_id ORDER BY score DESC, native_rank, cand_id) AS r, row_number() OVER (PARTITION BY word_id ORDER BY n_parts, native_rank, cand_id) AS h FROM ({_GOOD})) GROUP BY word_id")
 def w12_rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
     rows = numbered(_good(spark, sf).select("word_id", "cand_id", "native_rank", "score", "n_parts"), "word_id", [F.desc("score"), "native_rank", "cand_id"], "r")
@@ -218,29 +236,32 @@ def w12_rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _EVAL = f"""
-WITH gold AS (SELECT id AS word_id, decomps FROM words WHERE len(decomps) > 0),
+WITH gold AS (SELECT id AS word_id, decomps, len(list_distinct(decomps)) AS g FROM words WHERE len(decomps) > 0),
 r AS (SELECT word_id, decomp, row_number() OVER (PARTITION BY word_id ORDER BY score DESC, native_rank, decomp, cand_id) AS r FROM (SELECT *, row_number() OVER (PARTITION BY word_id, decomp ORDER BY score DESC, native_rank, cand_id) AS k FROM ({_GOOD})) WHERE k = 1),
-j AS (SELECT r.word_id, r, list_contains(decomps, decomp) AS hit, len(list_distinct(decomps)) AS g FROM r JOIN gold ON gold.word_id = r.word_id),
-w AS (SELECT word_id, any_value(g) AS g, count(*) AS produced, count_if(hit) AS matched, min(CASE WHEN hit THEN r END) AS first, count_if(hit AND r <= g) AS in_r, count_if(hit AND r <= least(5, g)) AS in_5 FROM j GROUP BY word_id)
+j AS (SELECT gold.word_id, r, g, coalesce(list_contains(decomps, decomp), false) AS hit FROM gold LEFT JOIN r ON gold.word_id = r.word_id),
+w AS (SELECT word_id, any_value(g) AS g, count(r) AS produced, count_if(hit) AS matched, min(CASE WHEN hit THEN r END) AS first, count_if(hit AND r <= g) AS in_r, count_if(hit AND r <= least(5, g)) AS in_5 FROM j GROUP BY word_id)
 """
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
     """Each word's ranked analyses against its list: how many were produced and matched, and the place of the first match. Words with
-    a list for which nothing usable was produced are kept with zeros; the SQL leaves them out.
+    a list for which nothing usable was produced are kept with zeros.
 
-    A list is short and joined to its word's rows by key; nothing is gathered.
+    Analyses meet the lists by word and text, and are counted before the shuffle by word, so that a word with very many is spread.
     """
-    gold = table(spark, sf, "words").where(F.size("decomps") > 0).select(F.col("id").alias("word_id"), "decomps")
+    words = table(spark, sf, "words").where(F.size("decomps") > 0).select(F.col("id").alias("word_id"), F.array_distinct("decomps").alias("d"))
+    gold = words.select("word_id", F.size("d").alias("g"), F.explode("d").alias("decomp"))
     rows = _good(spark, sf).groupBy("word_id", "decomp").agg(F.max("score").alias("score"), F.max_by(F.struct("native_rank", "cand_id"), F.struct("score", -F.col("native_rank"), -F.col("cand_id"))).alias("x"))
     rows = numbered(rows.select("word_id", "decomp", "score", "x.native_rank", "x.cand_id"), "word_id", [F.desc("score"), "native_rank", "decomp", "cand_id"], "r")
-    hit = F.array_contains("decomps", F.col("decomp"))
-    rows = gold.join(rows, "word_id", "left").select("word_id", "r", F.coalesce(hit, F.lit(False)).alias("hit"), F.size(F.array_distinct("decomps")).alias("g"))
-    count = lambda c: F.sum(c.cast("long"))
-    return rows.groupBy("word_id").agg(
-        F.max("g").alias("g"), F.count("r").alias("produced"), count(F.col("hit")).alias("matched"), F.min(F.when(F.col("hit"), F.col("r"))).alias("first"),
-        count(F.col("hit") & (F.col("r") <= F.col("g"))).alias("in_r"), count(F.col("hit") & (F.col("r") <= F.least(F.lit(5), F.col("g")))).alias("in_5"),
+    rows = rows.select("word_id", "decomp", "r").join(gold, ["word_id", "decomp"], "left")
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    sums = rows.groupBy("word_id").agg(
+        F.count("r").alias("produced"), F.count("g").alias("matched"), F.min(F.when(F.col("g").isNotNull(), F.col("r"))).alias("first"),
+        count(F.col("r") <= F.col("g")).alias("in_r"), count(F.col("g").isNotNull() & (F.col("r") <= F.least(F.lit(5), F.col("g")))).alias("in_5"),
     )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    out = words.select("word_id", F.size("d").alias("g")).join(sums, "word_id", "left")
+    return out.select("word_id", "g", zero("produced"), zero("matched"), "first", zero("in_r"), zero("in_5"))
 
 
 @R.query(_EVAL + "SELECT word_id, produced, matched, first FROM w")
@@ -248,7 +269,7 @@ def a12_matches_by_word(spark: SparkSession, sf: str) -> DataFrame:
     return _judged(spark, sf).select("word_id", "produced", "matched", "first")
 
 
-@R.query(_EVAL + "SELECT round(avg(CAST(matched AS DOUBLE) / g), 6) AS recall, round(avg(CAST(matched AS DOUBLE) / produced), 6) AS precision, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(CAST(in_r AS DOUBLE) / g), 6) AS r_precision, round(avg(CAST(in_5 AS DOUBLE) / least(5, g)), 6) AS p_at_5, count_if(first = 1) AS at1, count_if(first <= 3) AS at3, count_if(first <= 5) AS at5 FROM w")
+@R.query(_EVAL + "SELECT round(avg(CAST(matched AS DOUBLE) / g), 6) AS recall, round(avg(CAST(matched AS DOUBLE) / nullif(produced, 0)), 6) AS precision, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(CAST(in_r AS DOUBLE) / g), 6) AS r_precision, round(avg(CAST(in_5 AS DOUBLE) / least(5, g)), 6) AS p_at_5, count_if(first = 1) AS at1, count_if(first <= 3) AS at3, count_if(first <= 5) AS at5 FROM w")
 def a16_ranking_metrics(spark: SparkSession, sf: str) -> DataFrame:
     mean = lambda a, b: F.round(F.avg(F.col(a) / b), 6)
     return _judged(spark, sf).agg(
@@ -258,12 +279,27 @@ def a16_ranking_metrics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@R.query(_EVAL + "SELECT CASE WHEN first = 1 THEN 'first' WHEN first > 1 THEN 'later' ELSE 'absent' END AS outcome, count(*) AS n, round(avg(produced), 6) AS mean_produced FROM w GROUP BY 1")
+@R.query(_EVAL + "SELECT CASE WHEN produced = 0 THEN 'none' WHEN first = 1 THEN 'first' WHEN first > 1 THEN 'later' ELSE 'absent' END AS outcome, count(*) AS n, round(avg(produced), 6) AS mean_produced FROM w GROUP BY 1")
 def a15_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     outcome = F.when(F.col("produced") == 0, "none").when(F.col("first") == 1, "first").when(F.col("first") > 1, "later").otherwise("absent")
     return _judged(spark, sf).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"), F.round(F.avg("produced"), 6).alias("mean_produced"))
 
 
+@R.query(_EVAL + "SELECT n, round(avg(CASE WHEN first <= n THEN 1.0 ELSE 0.0 END), 6) AS share FROM w, range(1, 6) t(n) GROUP BY n")
+def a14_top_n_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of words with a right analysis among the first n, n from 1 to 5."""
+    each = F.explode(F.expr("transform(sequence(1, 5), n -> named_struct('n', CAST(n AS BIGINT), 'hit', coalesce(first <= n, false)))"))
+    return _judged(spark, sf).select(each.alias("x")).groupBy("x.n").agg(F.round(F.avg(F.when(F.col("x.hit"), 1.0).otherwise(0.0)), 6).alias("share"))
+
+
+@R.query(_EVAL + "SELECT count(*) AS words, count_if(produced = 0) AS no_output, round(avg(CAST(matched AS DOUBLE) / g), 6) AS recall, round(avg(CAST(matched AS DOUBLE) / nullif(produced, 0)), 6) AS precision, count_if(produced > 0) AS with_precision FROM w")
+def a13_recall_and_precision(spark: SparkSession, sf: str) -> DataFrame:
+    """Means over words; precision is undefined for words without output, which are counted."""
+    none = (F.col("produced") == 0).cast("long")
+    mean = lambda a, b: F.round(F.avg(F.col(a) / b), 6)
+    return _judged(spark, sf).agg(F.count("*").alias("words"), F.sum(none).alias("no_output"), mean("matched", F.col("g")).alias("recall"), mean("matched", F.nullif(F.col("produced"), F.lit(0))).alias("precision"), F.sum(1 - none).alias("with_precision"))
+
+
 @R.query(f"SELECT analyzer, count(*) AS n, count(DISTINCT word_id) AS words, count_if(weight <= 0) AS strict, count_if(weight > 0 AND weight <= 1) AS lenient, count_if(isinf(weight)) AS dropped, round(avg(n_parts), 6) AS mean_parts FROM ({_C}) GROUP BY analyzer")
 def a18_analyzer_volume(spark: SparkSession, sf: str) -> DataFrame:
     count = lambda c: F.sum(F.expr(c).cast("long"))
@@ -275,7 +311,7 @@ def _stem_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "word", "freq", F.array_join(D.stem(F.col("top_decomp")), " ").alias("stem"), F.size("top_decomp").alias("n_parts"))
 
 
-_WSTEM = "SELECT id, word, freq, array_to_string(list_slice(k, 1, coalesce(list_position(list_transform(k, lambda x: regexp_matches(split_part(x, '/', 2), '^t[nv]-')), true) - 1, len(k))), ' ') AS stem, len(k) AS n_parts FROM (SELECT id, word, freq, top_decomp AS k FROM words WHERE len(top_decomp) > 0)"
+_WSTEM = f"SELECT id, word, freq, array_to_string({_STEM}, ' ') AS stem, len(k) AS n_parts FROM (SELECT id, word, freq, top_decomp AS k FROM words WHERE len(top_decomp) > 0)"
 
 
 @R.query(f"SELECT s.id, s.stem, count(*) OVER (PARTITION BY stem) AS size, first_value(id) OVER (PARTITION BY stem ORDER BY n_parts, freq DESC NULLS LAST, id) AS base_id, id <> first_value(id) OVER (PARTITION BY stem ORDER BY n_parts, freq DESC NULLS LAST, id) AS inflected FROM ({_WSTEM}) s")
@@ -293,17 +329,26 @@ def a25_paradigm_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return _stem_rows(spark, sf).groupBy("stem").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("paradigms"))
 
 
-@R.query("SELECT id FROM words WHERE false")
-def u08_paradigm_integrity(spark: SparkSession, sf: str) -> DataFrame:
-    """Words whose base is itself inflected, which must not be."""
-    p = a24_paradigms(spark, sf)
-    return p.join(p.where("inflected").select(F.col("id").alias("base_id")), "base_id", "left_semi").select("id")
+@R.query(f"SELECT id AS word_id, decomp FROM (SELECT id, unnest(decomps) AS decomp FROM words) EXCEPT SELECT word_id, decomp FROM ({_C})")
+def u08_lost_analyses(spark: SparkSession, sf: str) -> DataFrame:
+    """Analyses that the dictionary lists and the candidates no longer hold: none where the later snapshot is a superset."""
+    before = table(spark, sf, "words").select(F.col("id").alias("word_id"), F.explode("decomps").alias("decomp")).distinct()
+    return before.join(_c(spark, sf).select("word_id", "decomp"), ["word_id", "decomp"], "left_anti")
 
 
-@R.query(f"WITH s AS ({_WSTEM}), seeds AS (SELECT DISTINCT stem FROM s WHERE freq >= 1000) SELECT id, stem FROM s WHERE stem IN (SELECT stem FROM seeds)")
+@R.query(_EVAL + "SELECT coalesce(o.id, w.word_id) AS id, coalesce(w.matched, -1) AS live, coalesce(o.n_decomps, 0) AS expected, coalesce(w.matched, -1) <> coalesce(o.n_decomps, 0) AS differs FROM w FULL JOIN (SELECT id, n_decomps FROM words WHERE analyzer_outcome = 'completed') o ON o.id = w.word_id")
+def j18_snapshot_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """What was matched now against what is on record, with a default where one side lacks the word."""
+    live = _judged(spark, sf).select(F.col("word_id").alias("id"), "matched")
+    old = table(spark, sf, "words").where("analyzer_outcome = 'completed'").select("id", F.col("n_decomps"))
+    a, b = F.coalesce("matched", F.lit(-1)), F.coalesce("n_decomps", F.lit(0))
+    return live.join(old, "id", "full").select("id", a.alias("live"), b.alias("expected"), (a != b).alias("differs"))
+
+
+@R.query(f"WITH s AS (SELECT id, freq, pos, array_to_string({_STEM}, ' ') AS stem FROM (SELECT id, freq, pos, {_KEYS} AS k FROM (SELECT id, freq, unnest(decomps[1:2]) AS decomp, unnest(range(len(decomps[1:2]))) AS pos FROM words))) SELECT id, arg_min(stem, pos) AS stem FROM s WHERE stem <> '' AND stem IN (SELECT stem FROM s WHERE freq >= 1000) GROUP BY id")
 def j17_seed_expansion(spark: SparkSession, sf: str) -> DataFrame:
     """All words that share a stem with a frequent word, by the stems of the first two analyses of both; each once, with the first
-    stem that links it. The SQL takes the stem of top_decomp alone.
+    stem that links it.
     """
     rows = table(spark, sf, "words").select("id", "freq", F.posexplode(F.slice("decomps", 1, 2)).alias("pos", "decomp"))
     rows = rows.select("id", "freq", "pos", F.array_join(D.stem(D.keys(F.col("decomp"))), " ").alias("stem")).where("stem <> ''")
@@ -357,12 +402,11 @@ def w06_last_write_wins(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("word", "x.id", "x.freq")
 
 
-@R.query("SELECT id, row_number() OVER (PARTITION BY md5(CAST(id AS VARCHAR))[1] ORDER BY md5(CAST(id AS VARCHAR)), id) % 5 AS fold FROM words")
+@R.query("SELECT id, (row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) - 1) % 5 AS fold FROM words")
 def m09_folds(spark: SparkSession, sf: str) -> DataFrame:
-    """Five folds of words, drawn by hash and dealt in turn within sixteen parts."""
-    h = F.md5(F.col("id").cast("string"))
-    rows = table(spark, sf, "words").select("id", h.alias("h"))
-    return rows.select("id", (F.row_number().over(W.partitionBy(F.substring("h", 1, 1)).orderBy("h", "id")) % 5).cast("long").alias("fold"))
+    """Five folds of words: shuffled by hash and dealt in turn. The places come from range partitions, as many as the session has."""
+    rows = table(spark, sf, "words").select("id", F.md5(F.col("id").cast("string")).alias("h"), F.lit(0).alias("all"))
+    return numbered(rows, "all", ["h", "id"]).select("id", ((F.col("pos") - 1) % 5).alias("fold"))
 
 
 @R.query(f"SELECT key, count(DISTINCT word_id) AS words FROM (SELECT word_id, unnest({_KEYS}) AS key FROM ({_C})) WHERE key IN ('mi/tn-loc-d', 'lu/2vv', 'suk/2nn', 'mu/3vv') GROUP BY key")
@@ -402,18 +446,16 @@ def m11_relevance_tiers(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("cand_id", tier.alias("tier"))
 
 
-@R.query(f"SELECT r.word_id, r.decomp IS NOT DISTINCT FROM f.decomp AS same_top, r.decomp IS NULL AS only_fst, f.decomp IS NULL AS only_r2l FROM (SELECT word_id, arg_min(decomp, (native_rank, cand_id)) AS decomp FROM ({_C}) WHERE analyzer = 'r2l' GROUP BY 1) r FULL JOIN (SELECT word_id, arg_min(decomp, (native_rank, cand_id)) AS decomp FROM ({_C}) WHERE analyzer = 'fst' GROUP BY 1) f ON r.word_id = f.word_id WHERE r.word_id IS NOT NULL")
+@R.query(f"SELECT coalesce(r.word_id, f.word_id) AS word_id, r.decomp IS NOT DISTINCT FROM f.decomp AS same_top, r.decomp IS NULL AS only_fst, f.decomp IS NULL AS only_r2l FROM (SELECT word_id, arg_min(decomp, (native_rank, cand_id)) AS decomp FROM ({_C}) WHERE analyzer = 'r2l' GROUP BY 1) r FULL JOIN (SELECT word_id, arg_min(decomp, (native_rank, cand_id)) AS decomp FROM ({_C}) WHERE analyzer = 'fst' GROUP BY 1) f ON r.word_id = f.word_id")
 def j20_first_of_both_analyzers(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether the two analyzers' first analyses agree, and which one alone has the word; one aggregation, no join. The SQL leaves out the
-    words that fst alone has.
-    """
+    """Whether the two analyzers' first analyses agree, and which one alone has the word; one aggregation, no join."""
     first = lambda a: F.min_by(F.when(F.col("analyzer") == a, F.col("decomp")), F.when(F.col("analyzer") == a, F.struct("native_rank", "cand_id")))
     rows = _c(spark, sf).groupBy("word_id").agg(first("r2l").alias("r"), first("fst").alias("f")).where("r IS NOT NULL OR f IS NOT NULL")
     return rows.select("word_id", F.col("r").eqNullSafe(F.col("f")).alias("same_top"), F.col("r").isNull().alias("only_fst"), F.col("f").isNull().alias("only_r2l"))
 
 
 @R.query(f"SELECT a.word_id, a.key, a.n AS in_word, p.n AS prior FROM (SELECT word_id, key, count(*) AS n FROM (SELECT word_id, unnest(k) AS key FROM ({_FIRST})) GROUP BY ALL) a LEFT JOIN (SELECT x AS key, count(*) AS n FROM (SELECT unnest(k) AS x FROM ({_FIRST})) GROUP BY x) p ON p.key = a.key")
-def j06_morpheme_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+def j06_morpheme_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     """The morphemes of each word's first analysis with their frequency."""
     rows = _first(spark, sf).select("word_id", F.explode("k").alias("key")).groupBy("word_id", "key").agg(F.count("*").alias("in_word"))
     return rows.join(a09_morpheme_prior(spark, sf).withColumnRenamed("n", "prior"), "key", "left").select("word_id", "key", "in_word", "prior")
