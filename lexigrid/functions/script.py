@@ -63,29 +63,59 @@ def to_roman(text: str | None) -> str | None:
     return None if text is None else text.translate({ord(a): b for a, b in romans().items()})
 
 
-def roman_column(col: Column) -> Column:
-    """Every syllabic sign replaced by its Roman spelling; other characters stay. Stays inside the JVM.
+#: A final before a sign that make one sound together, with the signs that stand for them.
+MERGED = {"ᕐ": ("", "ᑭᑯᑲᑮᑰᑳᑫ", "ᕿᖁᖃᖀᖂᖄᙯ"), "ᖅ": ("ᖅ", "ᑭᑯᑲᑮᑰᑳᑫ", "ᕿᖁᖃᖀᖂᖄᙯ"), "ᖕ": ("", "ᒋᒍᒐᒌᒎᒑᒉ", "ᖏᖑᖓᖐᖒᖔᙰ")}
+#: Other letters for the same sounds.
+ALIASES = {"b": "p", "d": "t", "h": "s"}
+
+
+def merged_signs(col: Column) -> Column:
+    """r before a sign of the k row gives q, q before one qq, ng before one of the g row ng."""
+    for final, (kept, signs, others) in MERGED.items():
+        for a, b in zip(signs, others, strict=True):
+            col = F.replace(col, F.lit(final + a), F.lit(kept + b))
+    return col
+
+
+def roman_column(col: Column, merged: bool = False) -> Column:
+    """Every syllabic sign replaced by its Roman spelling; other characters stay. Stays inside the JVM; text without signs is left alone.
 
     Signs of one Roman letter go through one translate; the others through a replace each, in the order
-    of the code points. A spelling holds no sign, so that the order doesn't matter.
+    of the code points. A spelling holds no sign, so that the order doesn't matter. With merged, finals before signs are joined first.
     """
     single = {a: b for a, b in romans().items() if len(b) == 1}
-    out = F.translate(col, "".join(single), "".join(single.values()))
+    out = merged_signs(col) if merged else col
+    out = F.translate(out, "".join(single), "".join(single.values()))
     for a, b in romans().items():
         if len(b) > 1:
             out = F.replace(out, F.lit(a), F.lit(b))
-    return out
-
+    return F.when(col.rlike(r"[\x{1400}-\x{167F}]"), out).otherwise(col)
 
-@lru_cache(maxsize=1)
-def _greedy() -> re.Pattern:
-    keys = sorted(syllabics(), key=lambda x: (-len(x), x))
-    return re.compile("|".join(map(re.escape, keys)))
 
+def syllabic_column(col: Column) -> Column:
+    """Roman spelling to signs: the longest spelling first, doubled q (also written rq) as q and a sign of the k row; what has no sign stays.
 
-def to_syllabics(text: str | None) -> str | None:
-    """Roman spelling to signs, the longest spelling first; what has no sign stays."""
-    if text is None:
-        return None
+    Consonants of several letters turn into one character first. Signs of ai aren't used.
+    """
+    coded = {"nng": "X", "ng": "N", "rq": "Q", "qq": "Q"}
+    out = col
+    for a, b in coded.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    out = F.translate(out, "".join(ALIASES), "".join(ALIASES.values()))
+    back = {"X": "nng", "N": "ng"}
     signs = syllabics()
-    return _greedy().sub(lambda m: signs[m[0]], text.lower())
+    vowels = ("ii", "uu", "aa", "i", "u", "a")
+    for v in vowels:
+        out = F.replace(out, F.lit("Q" + v), F.lit("ᖅ" + signs["k" + v]))
+        for c in (*"pgmsljvrq&NXtkn",):
+            if sign := signs.get(back.get(c, c) + v):
+                out = F.replace(out, F.lit(c + v), F.lit(sign))
+    for v in vowels[:3]:
+        out = F.replace(out, F.lit(v), F.lit(signs[v]))
+    finals = {c: signs[back.get(c, c)] for c in "iuapgmsljvrqtkn&NX" if back.get(c, c) in signs} | {"Q": "ᖅ", "H": "ᕼ"}
+    return F.translate(out, "".join(finals), "".join(finals.values()))
+
+
+def in_script(col: Column, wanted: Column, script: Column) -> Column:
+    """col in the wanted script (syllabic or roman), by the script that it is written in; text of the wanted one stays as it is."""
+    return F.when(script == wanted, col).when(wanted == "roman", roman_column(col, True)).when(wanted == "syllabic", syllabic_column(col)).otherwise(col)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexigrid.functions import text as X
-from lexigrid.functions.script import roman_column, romans
 from lexigrid.operators.lookup import concordance, longest_prefix, word_index
 from lexigrid.operators.ranks import numbered
 from lexigrid.plans.registry import Registry
@@ -151,29 +150,12 @@ def t04_syllabic_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pairs").where("inuktitut IS NOT NULL").select("id", F.round(ratio, 8).alias("ratio"), F.coalesce(ratio >= 0.7, F.lit(False)).alias("syllabic"))
 
 
-def _roman_sql(column: str) -> str:
-    out = column
-    for a, b in romans().items():
-        out = f"replace({out}, '{a}', '{b}')"
-    return out
-
-
-@R.query(f"SELECT id, {_roman_sql('word')} AS roman FROM words WHERE word IS NOT NULL")
-def t01_roman_spelling(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "words").where("word IS NOT NULL").select("id", roman_column(F.col("word")).alias("roman"))
-
-
 @R.query("SELECT case_id, replace(replace(word, 'nng', 'NN'), 'ng', 'N') AS simple, replace(replace(replace(replace(replace(word, 'nng', 'NN'), 'ng', 'N'), 'X', 'nng'), 'NN', 'nng'), 'N', 'ng') AS back FROM analyzer_cases WHERE word IS NOT NULL")
 def t07_simplified_spelling(spark: SparkSession, sf: str) -> DataFrame:
     simple = X.simplified(F.col("word"))
     return table(spark, sf, "analyzer_cases").where("word IS NOT NULL").select("case_id", simple.alias("simple"), X.unsimplified(simple).alias("back"))
 
 
-@R.query("SELECT case_id, regexp_replace(replace(lower(word), 'h', 'H'), '([iua])qk([iua])', '\\1qq\\2', 'g') AS looked_up FROM analyzer_cases WHERE word IS NOT NULL")
-def t09_search_input(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "analyzer_cases").where("word IS NOT NULL").select("case_id", X.search_input(F.col("word")).alias("looked_up"))
-
-
 @R.query("SELECT c AS letter, translate(c, 'ptkq', 'mnNr') AS nasal, translate(c, 'ptkq', 'vlgr') AS voiced, CASE WHEN c SIMILAR TO '[aiu]' THEN 'V' WHEN c SIMILAR TO '[a-zA-Z&]' THEN 'C' ELSE '-1' END AS class, count(*) AS n FROM (SELECT unnest(string_split(lower(word), '')) AS c FROM analyzer_cases WHERE word SIMILAR TO '[A-Za-z]+') GROUP BY c")
 def t10_letters(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "analyzer_cases").where(F.col("word").rlike("^[A-Za-z]+$")).select(F.explode(F.split(F.lower("word"), "")).alias("letter"))

@@ -32,7 +32,7 @@ def src04_correct_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.query("SELECT source, CAST(count(*) AS BIGINT) AS cases, count(all_correct_decomps) AS with_list, count_if(contains(all_correct_decomps, decomp_as_found_in_source)) AS found_in_list FROM analyzer_cases GROUP BY source")
-def a10_case_statistics(spark: SparkSession, sf: str) -> DataFrame:
+def src04_case_counts(spark: SparkSession, sf: str) -> DataFrame:
     found = F.coalesce(F.col("all_correct_decomps").contains(F.col("decomp_as_found_in_source")), F.lit(False))
     return table(spark, sf, "analyzer_cases").groupBy("source").agg(F.count("*").alias("cases"), F.count("all_correct_decomps").alias("with_list"), F.sum(found.cast("long")).alias("found_in_list"))
 
@@ -179,15 +179,6 @@ def a11_group_per_key(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.min("l_partkey").alias("first"), F.max("l_partkey").alias("last")).where("n >= 5")
 
 
-@R.query("SELECT case_id, word, variant FROM (SELECT case_id, lower(word) AS word, unnest([lower(word), replace(lower(word), 'vv', 'kv'), replace(lower(word), 'ts', 'tt'), replace(replace(lower(word), 'vv', 'kv'), 'ts', 'tt')]) AS variant FROM analyzer_cases WHERE word IS NOT NULL) GROUP BY ALL")
-def m15_dialect_variants(spark: SparkSession, sf: str) -> DataFrame:
-    """Spellings within two substitutions of consonant clusters, each once."""
-    w = F.lower("word")
-    a, b = (lambda c: F.replace(c, F.lit("vv"), F.lit("kv"))), (lambda c: F.replace(c, F.lit("ts"), F.lit("tt")))
-    rows = table(spark, sf, "analyzer_cases").where("word IS NOT NULL")
-    return rows.select("case_id", w.alias("word"), F.explode(F.array_distinct(F.array(w, a(w), b(w), b(a(w))))).alias("variant"))
-
-
 #: A small grammar to split case words with.
 _SUFFIXES = [Suffix(f, f, i, a, r) for f, i, a, r in (("mi", "tn-loc-s", "n", ""), ("mut", "tn-dat-s", "n", ""), ("nuni", "tn-abl-p-1s", "n", ""), ("punuk", "tn-nom-p-1s", "n", ""), ("put", "tn-via-d", "n", ""), ("mu", "3vv", "v", "v"), ("naq", "1vv", "v", "v"), ("vik", "1vn", "v", "n"), ("viq", "1vn", "v", "n"), ("suk", "2nn", "n", "n"), ("sut", "2vv", "v", "v"))]
 
