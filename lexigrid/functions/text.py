@@ -108,3 +108,15 @@ def last_section_bullets(text: Column, header: str) -> Column:
         return F.struct(got.alias("got"), over.alias("over"))
 
     return F.when(F.instr(text, header) > 0, F.aggregate(lines, start, step, lambda x: x["got"]))
+
+
+def leading_lines(lines: Column, pattern: str) -> Column:
+    """The lines that match pattern at the beginning of an array of lines, up to the first other line that isn't blank."""
+    start = F.struct(F.array().cast("array<string>").alias("got"), F.lit(False).alias("over"))
+
+    def step(acc: Column, line: Column) -> Column:
+        hit = line.rlike(pattern)
+        over = acc["over"] | ((F.trim(line) != "") & ~hit)
+        return F.struct(F.when(hit & ~over, F.array_append(acc["got"], line)).otherwise(acc["got"]).alias("got"), over.alias("over"))
+
+    return F.aggregate(lines, start, step, lambda x: x["got"])

@@ -8,7 +8,6 @@ from pyspark.sql.window import Window as W
 
 from lexigrid.functions import text as X
 from lexigrid.operators.constraints import compiled
-from lexigrid.operators.segmentation import Suffix, decompose_joined
 from lexigrid.operators.trees import score_rows
 from lexigrid.plans.registry import Registry
 from lexigrid.session import table
@@ -37,15 +36,6 @@ def src04_case_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "analyzer_cases").groupBy("source").agg(F.count("*").alias("cases"), F.count("all_correct_decomps").alias("with_list"), F.sum(found.cast("long")).alias("found_in_list"))
 
 
-@R.query("SELECT row_id, morpheme, coalesce(nullif(trim(eng_mean), ''), nullif(trim(fre_mean), '')) AS meaning FROM locations WHERE starts_with(lower(morpheme), 'ni') AND (contains(lower(eng_mean), 'place') OR contains(lower(fre_mean), 'place'))")
-def flt01_morpheme_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Morphemes that begin with a prefix and mean something with a word in it, with the English meaning or else the French."""
-    rows = table(spark, sf, "locations")
-    means = F.lower("eng_mean").contains("place") | F.lower("fre_mean").contains("place")
-    meaning = F.coalesce(F.nullif(F.trim("eng_mean"), F.lit("")), F.nullif(F.trim("fre_mean"), F.lit("")))
-    return rows.where(F.lower("morpheme").startswith("ni") & means).select("row_id", "morpheme", meaning.alias("meaning"))
-
-
 _UNION = "SELECT 'locations' AS table_name, row_id, morpheme, type, nb, nature, number FROM locations UNION ALL SELECT 'undecomposable_composite_words', row_id, morpheme, type, nb, nature, number FROM undecomposable_composite_words UNION ALL SELECT 'roots_schneider', row_id, morpheme, type, nb, nature, number FROM roots_schneider"
 
 
@@ -101,11 +91,6 @@ def a26_cost_by_period(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(F.col("event_type").alias("model")).agg(part("day").alias("today"), part("week").alias("week"), part("month").alias("month"))
 
 
-@R.query("SELECT event_type AS model, count(*) AS calls, round(coalesce(avg(value), 0), 6) AS mean_value, count_if(value > 100) AS above FROM events GROUP BY 1")
-def a27_backend_averages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("calls"), F.round(F.coalesce(F.avg("value"), F.lit(0.0)), 6).alias("mean_value"), F.sum(F.coalesce(F.col("value") > 100, F.lit(False)).cast("long")).alias("above"))
-
-
 @R.query("SELECT event_id, CAST(string_split(line, ':')[1] AS BIGINT) AS at_millis, string_split(line, ':')[3] AS model FROM (SELECT event_id, (epoch_us(ts) // 1000) || ':' || CAST(event_id AS VARCHAR) || ':' || event_type AS line FROM events)")
 def m20_log_lines(spark: SparkSession, sf: str) -> DataFrame:
     """A log line written and parsed again: millis:cost:model, split into three parts at most."""
@@ -120,7 +105,7 @@ def m21_digests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.query("SELECT doc_id, regexp_extract_all(text, 'Candidate ([0-9]+)', 1) AS numbers, coalesce(nullif(regexp_extract(text, 'Kept: ([^\\n]*)', 1), ''), 'none') AS kept FROM documents WHERE source = 'analysis_notes' AND text IS NOT NULL")
-def x23_note_parsing(spark: SparkSession, sf: str) -> DataFrame:
+def x23_note_fields(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").where("source = 'analysis_notes' AND text IS NOT NULL")
     kept = F.coalesce(F.nullif(F.regexp_extract("text", "Kept: ([^\n]*)", 1), F.lit("")), F.lit("none"))
     return rows.select("doc_id", F.regexp_extract_all("text", F.lit("Candidate ([0-9]+)"), F.lit(1)).alias("numbers"), kept.alias("kept"))
@@ -144,18 +129,6 @@ def x09_tags_and_entities(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", html.alias("html"), X.without_tags(html).alias("bare"))
 
 
-@R.query("SELECT 'Pair ' || id || chr(10) || '- ' || coalesce(inuktitut, '?') || chr(10) || '- ' || coalesce(english, '?') AS prompt, id FROM pairs")
-def x24_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    lines = F.concat_ws("\n", F.concat(F.lit("Pair "), F.col("id").cast("string")), F.concat(F.lit("- "), F.coalesce("inuktitut", F.lit("?"))), F.concat(F.lit("- "), F.coalesce("english", F.lit("?"))))
-    return table(spark, sf, "pairs").select("id", lines.alias("prompt"))
-
-
-@R.query("SELECT label, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS spread FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings) GROUP BY label")
-def a34_standardisation(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "embeddings").select("label", F.get("embedding", F.lit(0)).cast("double").alias("x"))
-    return rows.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("spread"))
-
-
 @R.query("""
 WITH RECURSIVE seg(id, w, rest, parts) AS (
   SELECT case_id, lower(word), lower(word), 0 FROM analyzer_cases WHERE word SIMILAR TO '[A-Za-z]+'
@@ -174,18 +147,3 @@ def r04_suffix_peeling(spark: SparkSession, sf: str) -> DataFrame:
       ) SELECT id AS case_id, max(parts) AS suffixes, min(length(rest)) AS shortest_stem FROM seg GROUP BY id""")
 
 
-@R.query("SELECT o_orderkey, n, first, last FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n, min(l_partkey) AS first, max(l_partkey) AS last FROM lineitem GROUP BY 1) WHERE n >= 5")
-def a11_group_per_key(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.min("l_partkey").alias("first"), F.max("l_partkey").alias("last")).where("n >= 5")
-
-
-#: A small grammar to split case words with.
-_SUFFIXES = [Suffix(f, f, i, a, r) for f, i, a, r in (("mi", "tn-loc-s", "n", ""), ("mut", "tn-dat-s", "n", ""), ("nuni", "tn-abl-p-1s", "n", ""), ("punuk", "tn-nom-p-1s", "n", ""), ("put", "tn-via-d", "n", ""), ("mu", "3vv", "v", "v"), ("naq", "1vv", "v", "v"), ("vik", "1vn", "v", "n"), ("viq", "1vn", "v", "n"), ("suk", "2nn", "n", "n"), ("sut", "2vv", "v", "v"))]
-
-
-@R.query()
-def r01_decompositions(spark: SparkSession, sf: str) -> DataFrame:
-    """Splittings of the case words over the roots of the cases' own lists and a small set of suffixes."""
-    cases = table(spark, sf, "analyzer_cases")
-    items = cases.select(F.explode(F.split("all_correct_decomps", ";")).alias("d")).select(F.regexp_extract("d", r"^\s*\{[^:{}]*:([^/{}]*)/([^{}]*)\}", 1).alias("c"), F.regexp_extract("d", r"^\s*\{[^:{}]*:([^/{}]*)/([0-9]+[nv])\}", 2).alias("i"))
-    return decompose_joined(cases.select(F.lower("word").alias("word")), items.where("i <> ''").select(F.col("c").alias("canonical"), F.col("i").alias("identifier")), _SUFFIXES)

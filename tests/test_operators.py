@@ -3,11 +3,11 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions import decomp as D
 from lexigrid.functions import text as X
-from lexigrid.functions.script import long_signs, roman_column, romans, to_roman, to_syllabics
+from lexigrid.functions.script import in_script, long_signs, roman_column, romans, syllabic_column, to_roman
+from lexigrid.operators import analyzer as A
 from lexigrid.operators.constraints import ConditionError, compiled
 from lexigrid.operators.lookup import concordance, longest_prefix, word_index
 from lexigrid.operators.ranks import numbered
-from lexigrid.operators.segmentation import Root, Search, Suffix, decompose, decompose_joined
 from lexigrid.operators.trees import score_rows
 from lexigrid.sources import files
 from lexigrid.streaming import lines
@@ -19,8 +19,28 @@ def one(spark, column, **values):
 
 def test_script():
     assert to_roman("ᐃᓄᒃᑎᑐᑦ ᖃᔭᖅ ᖕ ᖐ") == "inuktitut qajaq ng ngii"
-    assert to_syllabics("inuktitut") == "ᐃᓄᒃᑎᑐᑦ" and long_signs()["ᐱ"] == "ᐲ"
-    assert all(to_roman(to_syllabics(r)) == r for r in romans().values())
+    assert long_signs()["ᐱ"] == "ᐲ"
+
+
+@pytest.mark.parametrize(
+    ("syllabic", "roman"),
+    [("ᐃᓄᒃᑐᑦ, 2020", "inuktut, 2020"), ("ᐊᕐᕕᐊᕐᒦᖦᖢᑎᒃ", "arviarmii&&utik"), ("ᓄᓇᕗᑦ", "nunavut"), ("ᐃᖅᑭᖅ", "iqqiq"), ("ᐊᖓ ᐊᙱ", "anga anngi"), ("ᐆᒪ ᐋᖅ ᖃᐅ", "uuma aaq qau"), ("", "")],
+)
+def test_both_scripts(spark, syllabic, roman):
+    assert one(spark, roman_column(F.col("t"), True), t=syllabic) == roman
+    assert one(spark, syllabic_column(F.col("t")), t=roman) == syllabic
+
+
+def test_finals_join_the_sign_after_them_and_aliases_are_known(spark):
+    joined = {"ᐃᕐᑭᖅ": "iqiq", "ᐊᖕᒐ": "anga", "ᐃᕐᑎ": "irti", "ᕐᕿ": "rqi", "rki ᓄ": "rki nu"}
+    for a, b in joined.items():
+        assert one(spark, roman_column(F.col("t"), True), t=a) == b
+    assert one(spark, syllabic_column(F.col("t")), t="subluit") == "ᓱᑉᓗᐃᑦ" and one(spark, syllabic_column(F.col("t")), t="irqi") == "ᐃᖅᑭ"
+
+
+@pytest.mark.parametrize(("text", "wanted", "want"), [("ᐃᓄᒃᑐᑦ-1, inuktut-2", "roman", "inuktut-1, inuktut-2"), ("ᐃᓄᒃᑐᑦ-1, inuktut-2", "syllabic", "ᐃᓄᒃᑐᑦ-1, ᐃᓄᒃᑐᑦ-2"), ("inuk", "roman", "inuk")])
+def test_in_script(spark, text, wanted, want):
+    assert one(spark, in_script(F.col("t"), F.lit(wanted), X.script_of(F.col("t"))), t=text) == want
 
 
 def test_roman_column_is_its_twin(spark):
@@ -90,30 +110,87 @@ def test_trees(spark):
     assert got == pytest.approx({1: 0.15, 2: -0.05, 3: -0.05})
 
 
-def test_search(spark):
-    roots = [Root("iglu", "1n", "n"), Root("iglumi", "1n", "n")]
-    suffixes = [Suffix("mi", "mi", "tn-loc-s", "n", ""), Suffix("mut", "mut", "tn-dat-s", "n", "")]
-    assert Search(roots, suffixes).run("iglumi") == (["{iglumi:iglumi/1n}", "{iglu:iglu/1n}{mi:mi/tn-loc-s}"], False)
-    assert Search(roots, suffixes).run("iglumi", stop_after=1)[0] == ["{iglumi:iglumi/1n}"]
-    assert Search(roots, suffixes).run("iglumi", seconds=-1) == ([], True)
-    got = decompose(spark.createDataFrame([("iglumut",), (None,), ("",), ("x",)], "word string"), roots, suffixes).collect()
-    assert {r["word"]: r["decomps"] for r in got} == {"iglumut": ["{iglu:iglu/1n}{mut:mut/tn-dat-s}"], "x": []}
-
-
-def test_joined_search_keeps_all_roots(spark):
-    suffixes = [Suffix("mi", "mi", "tn-loc-s", "n", ""), Suffix("vik", "vik", "1vn", "v", "n"), Suffix("suk", "suk", "2nn", "n", "n", "deletion")]
-    roots = [Root(f"r{i}", f"1{c}", c) for i in range(3000) for c in "nv"]
-    words = spark.createDataFrame([(f"r{i}{s}",) for i in (0, 2999) for s in ("", "mi", "vikmi", "suk", "x")] + [(None,), ("",)], "word string")
-    lexicon = spark.createDataFrame([(r.canonical, r.identifier) for r in roots], "canonical string, identifier string")
-    want = {r["word"]: (r["status"], r["decomps"]) for r in decompose(words, roots, suffixes).collect()}
-    assert {r["word"]: (r["status"], r["decomps"]) for r in decompose_joined(words, lexicon, suffixes).collect()} == want
-    assert len(want["r2999"][1]) == 2
+AFFIXES = [
+    A.Affix("mi", "tn-loc-s", (A.Behaviour("mi"),)), A.Affix("mut", "tn-dat-s", (A.Behaviour("mut", "V"), A.Behaviour("mut", "C", "nasal"))), A.Affix("vik", "1vn", (A.Behaviour("vik", "V"), A.Behaviour("vik", "C", "drop"))),
+    A.Affix("juq", "1vn", (A.Behaviour("juq", "V"), A.Behaviour("tuq", "C"))), A.Affix("suk", "2nn", (A.Behaviour("suk", "q", "voice", ""), A.Behaviour("suk", "V", "vdup"))), A.Affix("qaq", "1nv", (A.Behaviour("qaq", "t", "drop"), A.Behaviour("qaq", "V")), "type:n"),
+]
+
+
+@pytest.mark.parametrize(
+    ("stem", "behaviour", "want"),
+    [
+        ("iglu", A.Behaviour("x", "V"), "iglu"), ("iglu", A.Behaviour("x", "t"), None), ("nanuq", A.Behaviour("x", "q", "drop"), "nanu"), ("nanuq", A.Behaviour("x", "C", "voice"), "nanur"),
+        ("inuk", A.Behaviour("x", "k", "nasal"), "inuN"), ("ulu", A.Behaviour("x", "V", "vdup"), "uluu"), ("inuk", A.Behaviour("x", "", "gem"), "inukk"), ("iglu", A.Behaviour("x", "V", "ins(Na)"), "igluNa"),
+        ("atiq", A.Behaviour("x", "q", "dropins(ra)"), "atira"), ("maniit", A.Behaviour("x", "t", "drop", "drop"), "mani"), ("maniit", A.Behaviour("x", "t", "drop", "ins(j)"), "maniij"), ("unnuat", A.Behaviour("x", "t", "drop", "drop(i)"), "unnua"),
+        ("kamik", A.Behaviour("x", "k", "dropvdup"), "kamii"), ("iglu", A.Behaviour("x", "", "other"), None), ("aput", A.Behaviour("pa", "t", "assim"), "apup"),
+    ],
+)
+def test_actions_and_their_inverse(stem, behaviour, want):
+    assert A.acted(stem, behaviour) == want
+    if want is not None:
+        assert stem in A.stems_before(want, behaviour)
+
+
+def test_search_finds_what_is_built_forwards():
+    """Words are built from the root on along the graph, and every one must be read back."""
+    roots = {"iglu": ["1n"], "nanuq": ["1n"], "tikit": ["1v"], "taku": ["1v"]}
+    search, graph = A.Analyzer(AFFIXES), A.closed_arcs()
+
+    def reads(parts):
+        states = {"w"}
+        for a in reversed(parts):
+            states = {t for s in states for c, t in graph.get(s, ()) if A.holds(c, A.attributes(a.canonical, a.identifier))}
+        return states
+
+    n = 0
+    for stem, ids in roots.items():
+        todo = [(stem, [], "".join(f"{stem}/{ids[0]}"))]
+        while todo:
+            text, parts, _ = todo.pop()
+            if any(t == "0" and A.holds(c, A.attributes(stem, ids[0])) for s in reads(parts) for c, t in graph.get(s, ())):
+                want = [f"{stem}/{ids[0]}", *(f"{a.canonical}/{a.identifier}" for a in parts)]
+                got = [[k.split(":")[1] for k in d.strip("{}").split("}{")] for d in search.first(text, roots)]
+                assert want in got, (text, want, got)
+                n += 1
+            for a in AFFIXES if len(parts) < 3 else ():
+                before = A.attributes(parts[-1].canonical, parts[-1].identifier) if parts else A.attributes(stem, ids[0])
+                if parts and parts[-1] is a or not A.holds(a.before, before):
+                    continue
+                todo += [(shown + b.form, [*parts, a], "") for b in a.behaviours if (shown := A.acted(text, b)) is not None]
+    assert n > 30
+
+
+def test_search_stops_early_and_in_time():
+    search = A.Analyzer(AFFIXES, A.ANY_ORDER)
+    assert len(search.first("iglumi", {"iglumi": ["1n"], "iglu": ["1n"]})) == 2 and len(search.first("iglumi", {"iglumi": ["1n"], "iglu": ["1n"]}, 1)) == 1
+    with pytest.raises(TimeoutError):
+        search.first("iglumi", {}, seconds=-1)
+
+
+def test_analyses_over_roots_of_any_number(spark):
+    words = spark.createDataFrame([(f"rut{i}a{s}",) for i in (0, 2999) for s in ("", "mi", "x")] + [("nanurmi",), ("iglun",), (None,), ("",)], "word string")
+    roots = spark.createDataFrame([(f"rut{i}a", "1n") for i in range(3000)] + [("nanuq", "1n"), ("iglut", "1n"), ("rut0aq", "1n")], "canonical string, identifier string")
+    got = {r["word"]: r for r in A.analyses(words, roots, [*AFFIXES, A.Affix("mi", "1q", (A.Behaviour("mi", "q", "voice"),))], lenient=True).collect()}
+    assert got["rut2999ami"]["decomps"] == ["{rut2999a:rut2999a/1n}{mi:mi/tn-loc-s}"] and got["rut2999ax"]["decomps"] == [] and len(got) == 8
+    assert got["nanurmi"]["decomps"] == ["{nanur:nanuq/1n}{mi:mi/1q}"] and got["iglun"]["decomps"] == ["{iglut:iglut/1n}"]
+    # A missing last consonant makes an analysis a lenient one, after the strict ones.
+    assert got["rut0a"]["decomps"] == ["{rut0a:rut0a/1n}", "{rut0aq:rut0aq/1n}"] and got["rut0a"]["lenients"] == [False, True]
+    late = A.analyses(words, roots, AFFIXES, seconds=-1).collect()
+    assert {r["status"] for r in late} == {"timed_out"} and all(r["decomps"] == [] for r in late)
+
+
+def test_composites_are_collapsed(spark):
+    rows = spark.createDataFrame([(1, 1, ["a", "b", "c"]), (1, 2, ["a", "bc"]), (1, 3, ["x", "b", "c"]), (2, 4, ["a", "b", "c"]), (1, 5, ["b", "c", "b", "c"]), (1, 6, ["b", "c", "bc"])], "word_id bigint, cand_id bigint, keys array<string>")
+    composites = spark.createDataFrame([("bc", ["b", "c"]), ("e", []), (None, None)], "id string, parts array<string>")
+    assert {r["cand_id"] for r in A.collapsed(rows, composites).collect()} == {2, 3, 4, 6}
+    assert A.collapsed(rows.limit(0), composites).count() == 0 and A.collapsed(rows, composites.limit(0)).count() == 6
 
 
 def test_query_of_decompositions_keeps_all_roots(spark, tmp_path):
-    from lexigrid.plans.tables import r01_decompositions
+    from lexigrid.plans.morphology import r01_decompositions
 
-    cases = [(f"root{i}", f"{{root{i}:root{i}/1n}}") for i in range(2300)]
+    name = lambda i: "r" + "".join("bcdfghjklm"[int(x)] for x in str(i))
+    cases = [(name(i), f"{{{name(i)}:{name(i)}/1n}}") for i in range(2300)]
     spark.createDataFrame(cases, "word string, all_correct_decomps string").write.parquet(f"{tmp_path}/analyzer_cases.parquet")
     got = r01_decompositions(spark, str(tmp_path)).collect()
     assert len(got) == 2300 and all(r["decomps"] == [f"{{{r['word']}:{r['word']}/1n}}"] for r in got)
