@@ -10,7 +10,7 @@ from lexigrid.functions import text as X
 from lexigrid.operators.constraints import compiled
 from lexigrid.operators.trees import score_rows
 from lexigrid.plans.registry import Registry
-from lexigrid.session import table
+from lexigrid.session import cut, table
 
 R = Registry()
 _FLAGS = ("is_misspelled", "is_possibly_misspelled", "is_borrowed", "decomp_unknown", "is_proper_name")
@@ -136,14 +136,13 @@ WITH RECURSIVE seg(id, w, rest, parts) AS (
   SELECT id, w, rest[1:len(rest) - len(suf)], parts + 1 FROM seg, (VALUES ('mi'), ('mut'), ('punuk'), ('nuni'), ('vut'), ('put')) s(suf) WHERE ends_with(rest, suf) AND len(rest) > len(suf) + 2
 ) SELECT id AS case_id, max(parts) AS suffixes, min(len(rest)) AS shortest_stem FROM seg GROUP BY id""")
 def r04_suffix_peeling(spark: SparkSession, sf: str) -> DataFrame:
-    """Recursive splitting from the right over a small set of endings, as a recursive query."""
-    table(spark, sf, "analyzer_cases").createOrReplaceTempView("__r04_cases")
-    return spark.sql("""
-      WITH RECURSIVE seg(id, rest, parts) AS (
-        SELECT case_id, lower(word), 0 FROM __r04_cases WHERE word RLIKE '^[A-Za-z]+$'
-        UNION ALL
-        SELECT id, substring(rest, 1, length(rest) - length(suf)), parts + 1
-        FROM seg JOIN (VALUES ('mi'), ('mut'), ('punuk'), ('nuni'), ('vut'), ('put')) AS s(suf) ON endswith(rest, suf) AND length(rest) > length(suf) + 2
-      ) SELECT id AS case_id, max(parts) AS suffixes, min(length(rest)) AS shortest_stem FROM seg GROUP BY id""")
-
-
+    """Recursive splitting from the right over a small set of endings: a frontier is expanded until no ending fits, one join a round; rounds are bounded by
+    the length of the words.
+    """
+    endings = F.broadcast(spark.createDataFrame([(e,) for e in ("mi", "mut", "punuk", "nuni", "vut", "put")], "suf string"))
+    seen = last = table(spark, sf, "analyzer_cases").where(F.col("word").rlike("^[A-Za-z]+$")).select("case_id", F.lower("word").alias("rest"), F.lit(0).alias("parts"))
+    while not last.isEmpty():
+        fits = F.endswith("rest", "suf") & (F.length("rest") > F.length("suf") + 2)
+        last = cut(last.join(endings, fits).select("case_id", F.expr("substring(rest, 1, length(rest) - length(suf))").alias("rest"), (F.col("parts") + 1).alias("parts")).distinct())
+        seen = seen.unionByName(last)
+    return seen.groupBy("case_id").agg(F.max("parts").alias("suffixes"), F.min(F.length("rest")).alias("shortest_stem"))

@@ -1,3 +1,5 @@
+import datetime
+import math
 import os
 
 import pytest
@@ -5,23 +7,49 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-def test_queries_agree_with_their_sql(spark):
+def plain(x):
+    if isinstance(x, float):
+        return "nan" if math.isnan(x) else float(f"{x:.9g}")
+    if isinstance(x, bool) or x is None:
+        return x
+    if isinstance(x, (list, tuple)):
+        return tuple(map(plain, x))
+    if isinstance(x, int):
+        return float(x)
+    return x.replace(tzinfo=None) if isinstance(x, datetime.datetime) else str(x)
+
+
+@pytest.fixture(scope="module")
+def con():
     import duckdb
 
-    queries, oracles = entry.queries(), entry.oracle_sql()
-    assert set(oracles) <= set(queries)
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
-    for name in ["a01_frequency_list", "j03_longest_prefix", "o01_five_key_order", "a16_ranking_metrics", "flt08_constraint", "p3_found", "p6_found"]:
-        df = queries[name](spark, SF)
-        want = con.execute(oracles[name])
-        columns = [c[0] for c in want.description]
-        key = lambda r: [str(x) for x in r]
-        assert sorted(map(list, df.select(*(f"`{c}`" for c in columns)).collect()), key=key) == sorted(map(list, want.fetchall()), key=key), name
+    return con
+
+
+def test_every_sql_has_its_query():
+    assert set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_agrees_with_its_sql(spark, con, name):
+    df, want = QUERIES[name](spark, SF), con.execute(ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(columns) == sorted(df.columns)
+    got = [plain(tuple(r)) for r in df.select(*(f"`{c}`" for c in columns)).collect()]
+    assert sorted(got, key=repr) == sorted((plain(r) for r in want.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_query_without_sql_runs(spark, con, name):
+    assert QUERIES[name](spark, SF).count() >= 0
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
