@@ -10,10 +10,13 @@ from lexigrid.functions import decomp as D
 from lexigrid.functions import morphemes as M
 from lexigrid.functions import text as X
 from lexigrid.functions.script import roman_column
+from lexigrid.operators.constraints import compiled
+from lexigrid.operators.lookup import longest_prefix
 from lexigrid.operators.ranks import numbered
 from lexigrid.plans.ranking import _C, _FIRST, _GOOD, _KEYS, _RE, _c, _first, _good
 from lexigrid.plans.registry import Registry
 from lexigrid.session import table
+from lexigrid.sources.files import lexicon_lines
 
 R = Registry()
 _TABLES = ("locations", "undecomposable_composite_words", "roots_schneider")
@@ -362,3 +365,62 @@ def u07_distinct_in_order(spark: SparkSession, sf: str) -> DataFrame:
     first = rows.groupBy("source_file", "w").agg(F.min(F.col("id") * 100000 + F.col("i")).alias("first"))
     top = first.withColumn("k", F.row_number().over(W.partitionBy("source_file").orderBy("first", "w"))).where("k <= 10")
     return top.groupBy("source_file").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]).alias("words"))
+
+
+@R.query(f"SELECT id || ':' || regexp_replace(morpheme, '([&%])', '%\\1', 'g') || ' ' || upper(coalesce(type, 'x')) || ' ;' AS value, count(*) AS n FROM ({_ALL}) WHERE morpheme <> '' AND id IS NOT NULL GROUP BY 1")
+def src29_lexicon_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of a lexicon source."""
+    rows = records(spark, sf).where("id IS NOT NULL").select("morpheme", "id", F.upper(F.coalesce("type", F.lit("x"))).alias("state"))
+    return lexicon_lines(rows).groupBy("value").agg(F.count("*").alias("n"))
+
+
+_CONDS = {"cp abc/1v": "type:v nature:zoo", "cf abc/1v": "!nb:2"}
+
+
+@R.query(f"SELECT table_name, row_id, (coalesce(type = 'v', false) OR coalesce(nature = 'zoo', false)) AND NOT coalesce(nb = '1', false) OR NOT coalesce(nb = '2', false) AND coalesce(type = 'a', false) AS holds FROM ({' UNION ALL '.join(f'SELECT {chr(39)}{t}{chr(39)} AS table_name, row_id, type, nb, nature FROM {t}' for t in _TABLES)})")
+def flt12_conditions_of_others(spark: SparkSession, sf: str) -> DataFrame:
+    """A condition that refers to those that other morphemes set."""
+    out = None
+    for t in _TABLES:
+        rows = table(spark, sf, t).select(F.lit(t).alias("table_name"), "row_id", "type", "nb", "nature")
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("table_name", "row_id", compiled("cp(abc/1v),!nb:1 cf(abc/1v),type:a", ("type", "nb", "nature"), _CONDS).alias("holds"))
+
+
+@R.query("""
+WITH u AS (SELECT row_id, type, root, root_type FROM undecomposable_composite_words), r AS (SELECT morpheme, arg_min(struct_pack(t := type, n := nature), row_id) AS x FROM roots_schneider WHERE morpheme IS NOT NULL GROUP BY morpheme)
+SELECT u.row_id, coalesce(u.type = 'v', false) OR r.morpheme IS NOT NULL AND coalesce(r.x.t = 'v', false) AS holds FROM u LEFT JOIN r ON r.morpheme = u.root""")
+def flt09_last_part(spark: SparkSession, sf: str) -> DataFrame:
+    """A condition on a compound that may hold for its last part instead, which is joined by its form."""
+    parts = table(spark, sf, "roots_schneider").where("morpheme IS NOT NULL").groupBy("morpheme").agg(F.min_by(F.struct("type", "nature"), "row_id").alias("x"))
+    parts = parts.select(F.col("morpheme").alias("root"), F.col("morpheme").alias("last_id"), F.col("x.type").alias("last_type"))
+    rows = table(spark, sf, "undecomposable_composite_words").select("row_id", "type", "root").join(parts, "root", "left")
+    return rows.select("row_id", compiled("type:v", ("type",), None, "last_").alias("holds"))
+
+
+_TOKENS_SQL = r"SELECT DISTINCT unnest(regexp_extract_all(lower(inuktitut), '[\p{L}\p{M}\p{N}_]+')) AS t FROM pairs"
+
+
+@R.query(f"WITH g AS ({_FIRST_OF}), t AS ({_TOKENS_SQL}) SELECT w.id, x.e AS definition, CASE WHEN x.e IS NULL THEN t.t IS NOT NULL END AS in_corpus, coalesce(len(w.decomps), 0) AS analyses FROM words w LEFT JOIN (SELECT id, x FROM g WHERE x.e IS NOT NULL) d ON d.id = w.top_decomp[1] LEFT JOIN t ON t.t = lower(w.word)")
+def r20_word_lookups(spark: SparkSession, sf: str) -> DataFrame:
+    """The final state of a lookup: the definition of the word's root; the corpus is asked only where there is none; the number of analyses."""
+    glosses = _first_record(spark, sf).where("x.eng_mean IS NOT NULL").select(F.col("id").alias("key"), F.col("x.eng_mean").alias("definition"))
+    words = table(spark, sf, "words").select("id", F.lower("word").alias("t"), F.get("top_decomp", F.lit(0)).alias("key"), F.coalesce(F.size("decomps"), F.lit(0)).cast("long").alias("analyses")).join(glosses, "key", "left")
+    seen = table(spark, sf, "pairs").select(F.explode(X.words(F.col("inuktitut"))).alias("t")).distinct().withColumn("hit", F.lit(True))
+    asked = words.where("definition IS NULL").join(seen, "t", "left").select("id", "definition", F.coalesce("hit", F.lit(False)).alias("in_corpus"), "analyses")
+    return asked.unionByName(words.where("definition IS NOT NULL").select("id", "definition", F.lit(None).cast("boolean").alias("in_corpus"), "analyses"))
+
+
+@R.query(f"WITH e AS (SELECT DISTINCT upper(m[1][1]) AS letter, trim(m[1]) AS word, min(trim(m[3])) AS meaning FROM (SELECT {_CELLS} AS m FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents WHERE source = 'glossary' AND doc_id % 7 <> 0)) WHERE regexp_matches(m[1], '^[A-Za-z]') GROUP BY ALL), q AS (SELECT id, lower(split_part(top_decomp[1], '/', 1)) AS w FROM words WHERE len(top_decomp) > 0), h AS (SELECT q.id, q.w, max_by(e.word, len(e.word)) AS word FROM q JOIN e ON starts_with(q.w, lower(e.word)) AND (len(e.word) >= 3 OR e.word = q.w) GROUP BY ALL) SELECT q.id, CASE WHEN NOT regexp_matches(q.w, '^[a-z]') THEN 'not_found' WHEN h.word IS NULL THEN 'not_found' WHEN lower(h.word) = q.w THEN 'found' ELSE 'found_for_shorter' END AS status, lower(h.word) AS entry FROM q LEFT JOIN h USING (id)")
+def src17_glossary_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Roots of the words looked up in the pages of the glossary by their first letters; the longest beginning counts where the whole isn't there. Pages that
+    couldn't be fetched (here each seventh) have no entries.
+    """
+    pages = _pages(spark, sf).where("doc_id % 7 <> 0")
+    entries = pages.select(F.explode(M.table_rows(F.col("html"))).alias("x")).select(F.lower("x.word").alias("key")).where(F.col("key").rlike("^[a-z]")).distinct()
+    q = table(spark, sf, "words").where(F.size("top_decomp") > 0).select("id", F.lower(F.substring_index(F.get("top_decomp", F.lit(0)), "/", 1)).alias("word"))
+    whole = q.join(entries.withColumnRenamed("key", "word"), "word").select("id", F.lit("found").alias("status"), F.col("word").alias("entry"))
+    rest = q.join(whole.select("id"), "id", "left_anti")
+    short = longest_prefix(rest.select("word").distinct(), entries)
+    rest = rest.join(short, "word", "left").select("id", F.when(F.col("key").isNull(), "not_found").otherwise("found_for_shorter").alias("status"), F.col("key").alias("entry"))
+    return whole.unionByName(rest)

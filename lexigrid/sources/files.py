@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from lexigrid.functions.script import roman_column
+
 #: Version of the index tables that write_index writes and read_index asks for.
 INDEX_VERSION = 1
 
@@ -96,3 +101,127 @@ def append_missing(done_path: str, work: DataFrame, key: str, version: str, run)
     if n:
         run(todo).withColumn("version", F.lit(version)).write.mode("append").parquet(done_path)
     return n
+
+
+def read_json_lines_to_the_first_bad(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The objects of a file up to its first malformed line, in any order; a file that was cut while it was written is read as far as it goes."""
+    lines = numbered_lines(spark, path).where(F.trim("line") != "")
+    fields = StructType([*schema.fields]).add("_bad", "string")
+    parsed = lines.select("line_no", F.from_json("line", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("x"))
+    first_bad = parsed.where("x._bad IS NOT NULL").agg(F.min("line_no").alias("stop"))
+    # One row.
+    return parsed.crossJoin(F.broadcast(first_bad)).where("stop IS NULL OR line_no < stop").select("x.*").drop("_bad")
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """One object a line; letters stay as they are, fields that are null too."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_tsv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").options(sep="\t", quote="", escape="").csv(path)
+
+
+def read_word_list(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+    """(line_no, word) of a list of words, without blanks around them and empty lines; of its first n words, if n is given."""
+    rows = numbered_lines(spark, path).select("line_no", F.trim("line").alias("word")).where("word <> ''")
+    return rows if n is None else rows.orderBy("line_no").limit(n)
+
+
+def transcoded_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, roman) of a file with a word a line, each in Roman letters; the order is that of line_no."""
+    return numbered_lines(spark, path).select("line_no", roman_column(F.trim("line"), True).alias("roman"))
+
+
+def unpacked(spark: SparkSession, source: str, target: str) -> int:
+    """A compressed text file or folder written plainly; readers see nothing of it before it is whole. Returns the number of lines. Files of one compressed
+    stream are read by one task each.
+    """
+    lines = spark.read.text(source)
+    lines.write.mode("overwrite").text(target)
+    return spark.read.text(target).count()
+
+
+def wrong_digests(spark: SparkSession, path: str, expected: dict[str, str]) -> list[str]:
+    """Names of the files of a published dataset, a short list, that are missing or whose SHA-256 isn't the expected one."""
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest"))
+    got = {r["name"]: r["digest"] for r in files.where(F.col("name").isin(*expected)).collect()} if expected else {}
+    return sorted(n for n, d in expected.items() if got.get(n) != d.lower())
+
+
+def replace_table(df: DataFrame, path: str) -> str:
+    """Writes a new version of a table beside the old ones and then names it in path/current: readers have the old version or the new one, whole, and df may
+    read the old one. Returns the version's folder.
+    """
+    spark = df.sparkSession
+    version = f"{path}/version-{uuid.uuid4().hex}"
+    df.write.parquet(version)
+    name = version.rsplit("/", 1)[1]
+    count = spark.read.parquet(version).count()
+    spark.createDataFrame([(name, count, time.time_ns())], "version string, rows bigint, at bigint").coalesce(1).write.mode("append").json(f"{path}/current")
+    return version
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The version of a table that replace_table wrote last."""
+    last = spark.read.schema("version string, rows bigint, at bigint").json(f"{path}/current").orderBy(F.desc("at")).first()
+    return spark.read.parquet(f"{path}/{last['version']}")
+
+
+def write_corpus(pairs: DataFrame, path: str, corpus_version: str) -> None:
+    """The four tables of a corpus: pairs, words with dense ids, the index of words by pairs in files sorted by word, and meta."""
+    from lexigrid.operators.lookup import word_index
+    from lexigrid.operators.ranks import numbered
+
+    pairs.write.mode("overwrite").parquet(f"{path}/pairs")
+    index = word_index(pairs, "id", "inuktitut").withColumnRenamed("id", "pair_id")
+    words = numbered(index.groupBy("word").agg(F.min("pair_id").alias("first")).withColumn("all", F.lit(0)), "all", ["first", "word"], "id").select("id", "word")
+    words.write.mode("overwrite").parquet(f"{path}/words")
+    ids = pairs.sparkSession.read.parquet(f"{path}/words").withColumnRenamed("id", "word_id")
+    index = index.join(ids, "word").select("word_id", "pair_id")
+    index.repartitionByRange("word_id", "pair_id").sortWithinPartitions("word_id", "pair_id").write.mode("overwrite").parquet(f"{path}/word_index")
+    meta = [("schema_version", str(INDEX_VERSION)), ("corpus_version", corpus_version), ("pair_count", str(pairs.count()))]
+    pairs.sparkSession.createDataFrame(meta, "key string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def markdown(df: DataFrame, title: str, most: int = 50) -> str:
+    """A report of the first most rows of a small table as text."""
+    rows = df.limit(most).collect()
+    cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
+    lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]) + "\n"
+
+
+def lexicon_lines(records: DataFrame) -> DataFrame:
+    """(value) lines of a lexicon source from records (morpheme, id, state): the id and the form with the state in which a word goes on. Records without a form are left out."""
+    rows = records.where("morpheme IS NOT NULL AND morpheme <> ''")
+    return rows.select(F.concat("id", F.lit(":"), F.regexp_replace("morpheme", "([&%])", "%$1"), F.lit(" "), "state", F.lit(" ;")).alias("value"))
+
+
+def called_cases(source: str, name: str) -> list[tuple[list[str], list[str]]]:
+    """Texts among the arguments, and names of the calls chained to it, of every call of name in the text of a program: comments are left out, brackets and texts
+    are matched. Of cases with one first text the last one counts.
+    """
+    bare = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or " ", source, flags=re.S)
+    out: dict[str, tuple[list[str], list[str]]] = {}
+    for m in re.finditer(rf"\b{re.escape(name)}\s*\(", bare):
+        end = _closing(bare, m.end() - 1)
+        texts = [json.loads(t) for t in re.findall(r'"(?:\\.|[^"\\])*"', bare[m.end() : end])]
+        chained = []
+        while c := re.match(r"\s*\.\s*(\w+)\s*\(", bare[end + 1 :]):
+            chained.append(c[1])
+            end = _closing(bare, end + c.end())
+        if texts:
+            out.pop(texts[0], None)
+            out[texts[0]] = (texts, chained)
+    return list(out.values())
+
+
+def _closing(text: str, at: int) -> int:
+    """The place of the bracket that closes the one at at; the text's end if there is none."""
+    depth = 0
+    for m in re.compile(r'"(?:\\.|[^"\\])*"|[()]').finditer(text, at):
+        depth += {"(": 1, ")": -1}.get(m[0], 0)
+        if depth == 0:
+            return m.start()
+    return len(text)
