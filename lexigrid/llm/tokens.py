@@ -167,6 +167,21 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
     return docs.select(key, text).mapInArrow(_mapper(docs.sparkSession, vocabulary, folder, False), f"`{key}` {kind}, n_tokens bigint")
 
 
+def decode_texts(rows: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:
+    """(key, text) of every row: the text that its ids spell, an empty one for an empty or null list."""
+    with open(os.path.join(folder, vocabulary), "rb") as f:
+        content = rows.sparkSession.sparkContext.broadcast(f.read())
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_id = {int(b): base64.b64decode(a) for a, b in (line.split() for line in content.value.splitlines() if line.strip())}
+        for batch in batches:
+            texts = [b"".join(by_id[i] for i in x or ()).decode("utf-8") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [batch.schema.names[0], "text"])
+
+    return rows.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
+
+
 def _mapper(spark: SparkSession, vocabulary: str, folder: str, whole: bool):  # noqa: ANN202
     with open(os.path.join(folder, vocabulary), "rb") as f:
         content = spark.sparkContext.broadcast(f.read())
