@@ -117,17 +117,16 @@ def p7_decoded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_invariants(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources that got a share, documents used too often, and whether every share is as close to its target (of the sources that have texts) as whole documents
-    allow: within two hundredths, or what the largest document of each of up to four languages makes up.
+    """Targets, documents used too often, and whether every share is as close to its target as whole documents allow: within two hundredths, or what the largest document of each of up to four languages makes up.
     """
     targets = table(spark, sf, "mix_targets")
     mixed = cut(p8_mix(spark, sf))
     over = mixed.join(F.broadcast(targets), "source").agg(F.coalesce(F.sum((F.col("copies") > F.col("max_repeats")).cast("long")), F.lit(0)).alias("overused"))
     step = mixed.agg((4 * F.max("n_tokens") / F.sum(F.col("n_tokens") * F.col("copies"))).alias("step"))
-    shares = mixture.mixture_shares(mixed, targets).where("tokens > 0")
+    shares = mixture.mixture_shares(mixed, targets)
     # As many rows as targets.
     shares = shares.withColumn("aim", F.col("target_share") / F.sum("target_share").over(Window.partitionBy())).crossJoin(F.broadcast(step))
-    return shares.agg(F.count("*").alias("sources"), F.min(F.abs(F.col("share") - F.col("aim")) < F.greatest(F.lit(0.02), F.col("step"))).alias("close")).crossJoin(F.broadcast(over))
+    return shares.agg(F.count("*").alias("targets"), F.min(F.abs(F.col("share") - F.col("aim")) < F.greatest(F.lit(0.02), F.col("step"))).alias("close")).crossJoin(F.broadcast(over))
 
 
 def p9_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,7 +207,7 @@ oracles: dict[str, str] = {
     "p5_classes": _FORMS + """, s AS (SELECT field, form, text, count(*) AS n, min(id) AS least FROM forms WHERE text <> '' GROUP BY ALL), c AS (SELECT field, form, sum(n) AS a, min(least) AS class_id FROM s GROUP BY ALL HAVING count(*) > 1)
       SELECT f.field, f.id, c.class_id, CAST(c.a - s.n AS BIGINT) AS partners FROM forms f JOIN c ON c.field = f.field AND c.form = f.form JOIN s ON s.field = f.field AND s.form = f.form AND s.text = f.text""",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
-    "p8_invariants": "SELECT (SELECT count(*) FROM mix_targets m WHERE EXISTS (SELECT 1 FROM documents d WHERE d.source = m.source AND d.text <> '')) AS sources, true AS close, 0 AS overused",
+    "p8_invariants": "SELECT (SELECT count(*) FROM mix_targets) AS targets, true AS close, 0 AS overused",
     "p9_documents": r"SELECT coalesce(source, '') AS source, count(*) AS documents, count_if(regexp_matches(coalesce(text, ''), '^[\s\p{Z}]*$')) AS blank, 0 AS blank_and_cut FROM documents GROUP BY 1",
     "p4_found": _RANKED + "SELECT word_id, cand_id FROM ranked WHERE pos <= 3",
     "p4_words": _RANKED
