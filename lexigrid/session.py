@@ -31,11 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, a single machine) a temporary folder is made and set.
+    Only in a session on a single machine, where the setting is absent, a temporary folder is made and set; on a cluster its absence is an error,
+    as each executor would write to a disk of its own.
     """
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
@@ -53,6 +56,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Paths of each application that clear removes.
+_made: dict[str, list[str]] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes what queries of this application have written to the shared folder, and returns how many paths there were. Results that haven't been
+    read yet are lost, so that it is called between jobs.
+    """
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        # Terms have a folder beside theirs that DuckDB spills to.
+        for path in (jvm.org.apache.hadoop.fs.Path(p), jvm.org.apache.hadoop.fs.Path(p + "-scratch")):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

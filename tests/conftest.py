@@ -8,9 +8,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from lexigrid.session import build_session
+    from lexigrid.session import build_session, clear
 
     s = build_session(4, shuffle_partitions=4, memory="4g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clear(s)
     s.stop()
