@@ -10,6 +10,7 @@ from lexigrid.functions import text as X
 from lexigrid.functions.script import roman_column
 from lexigrid.operators import analyzer as A
 from lexigrid.operators.multivalue import PACKED_FIELDS, split_values
+from lexigrid.operators.ranks import numbered
 from lexigrid.plans.general import _FIELDS, _endings
 from lexigrid.plans.general import oracles as general_sql
 from lexigrid.plans.ranking import _C, _KEYS, _c
@@ -204,3 +205,57 @@ def r02_listed_analyses_found(spark: SparkSession, sf: str) -> DataFrame:
     got = got.select("roman", D.without_surfaces(F.col("d")).alias("bare")).distinct().withColumn("hit", F.lit(True))
     listed = cases.select("case_id", "roman", F.explode(F.split("all_correct_decomps", ";")).alias("d")).select("case_id", "roman", D.without_surfaces(F.trim("d")).alias("bare")).where("bare <> ''")
     return listed.join(got, ["roman", "bare"], "left").groupBy("case_id").agg(F.max(F.coalesce("hit", F.lit(False))).alias("found"))
+
+
+_PROBES = "SELECT DISTINCT unnest([right(w, 3), right(w, 2) || 't', right(w, 2) || 'k', right(w, 2) || 'q', right(w, 2) || 'p']) AS probe FROM (SELECT DISTINCT replace(replace(lower(word), 'nng', 'NN'), 'ng', 'N') AS w FROM analyzer_cases WHERE word SIMILAR TO '[A-Za-z]+') WHERE len(w) > 3"
+
+
+def expanded(ends: Column) -> Column:
+    """A form as it is, or, where it ends with a star, with each consonant that may be missing there."""
+    return F.when(ends.endswith("*"), F.transform(F.array(*map(F.lit, "tkqp")), lambda c: F.concat(F.regexp_replace(ends, r"\*$", ""), c))).otherwise(F.array(ends))
+
+
+def _probes(spark: SparkSession, sf: str) -> DataFrame:
+    words = table(spark, sf, "analyzer_cases").where(F.col("word").rlike("^[A-Za-z]+$")).select(X.simplified(F.lower("word")).alias("w")).where(F.length("w") > 3)
+    both = F.array(F.expr("right(w, 3)"), F.concat(F.expr("right(w, 2)"), F.lit("*")))
+    return words.select(F.explode(both).alias("p")).select(F.explode(expanded(F.col("p"))).alias("probe")).distinct()
+
+
+@R.query(_MERGED + f" SELECT p.probe, m.morpheme, count(*) AS behaviours FROM ({_PROBES}) p JOIN (SELECT *, {_SURFACE.format(a='action1')} AS surface FROM merged) m ON m.surface = p.probe GROUP BY ALL")
+def j08_affixes_by_surface(spark: SparkSession, sf: str) -> DataFrame:
+    """Ends of the case words, also with a missing consonant, with the affixes that have them as a surface form."""
+    made = X.simplified(F.when(F.col("action1").startswith("ins("), F.concat(F.regexp_extract("action1", r"\((.*)\)$", 1), "form")).otherwise(F.col("form")))
+    index = _merged(spark, sf).select("morpheme", made.alias("probe"))
+    return _probes(spark, sf).join(index, "probe").groupBy("probe", "morpheme").agg(F.count("*").alias("behaviours"))
+
+
+@R.query(r"""
+WITH r AS (SELECT DISTINCT regexp_extract(d, '^\s*\{[^:{}]*:([^/{}]*)/([0-9]+[a-z]+)\}', 1) AS c, regexp_extract(d, '^\s*\{[^:{}]*:([^/{}]*)/([0-9]+[a-z]+)\}', 2) AS i FROM (SELECT unnest(string_split(all_correct_decomps, ';')) AS d FROM analyzer_cases)),
+s AS (SELECT DISTINCT w, unnest(CASE WHEN regexp_matches(p, '[aiu]$') THEN [p, p || 't', p || 'k', p || 'q', p || 'p'] ELSE [p] END) AS stem FROM (SELECT w, unnest(list_transform(range(3, len(w) + 1), lambda k: w[1:k])) AS p FROM (SELECT DISTINCT lower(word) AS w FROM analyzer_cases WHERE word SIMILAR TO '[A-Za-z]+')))
+SELECT s.w AS word, s.stem, r.i AS identifier FROM s JOIN r ON r.c = s.stem WHERE r.i <> ''""")
+def j09_roots_by_form(spark: SparkSession, sf: str) -> DataFrame:
+    """Beginnings of the case words, with a missing consonant after a vowel, with the roots of that canonical form."""
+    cases = table(spark, sf, "analyzer_cases")
+    words = cases.where(F.col("word").rlike("^[A-Za-z]+$")).select(F.lower("word").alias("word")).distinct().where(F.length("word") > 2)
+    begins = words.select("word", F.explode(F.expr("transform(sequence(3, length(word)), k -> substring(word, 1, k))")).alias("p"))
+    both = F.when(F.col("p").rlike("[aiu]$"), F.array("p", F.concat("p", F.lit("*")))).otherwise(F.array("p"))
+    stems = begins.select("word", F.explode(both).alias("p")).select("word", F.explode(expanded(F.col("p"))).alias("stem")).distinct()
+    return stems.join(_roots(cases).withColumnRenamed("canonical", "stem"), "stem").select("word", "stem", "identifier")
+
+
+@R.query("SELECT id, row_number() OVER (ORDER BY freq DESC NULLS LAST, id) AS rank FROM words WHERE word IS NOT NULL")
+def o10_merged_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """Shards of the dictionary, worked on apart, merged by rank: ranges of ranks are numbered on their own."""
+    rows = table(spark, sf, "words").where("word IS NOT NULL").select("id", "freq")
+    shards = [rows.where(F.col("id") % 4 == k) for k in range(4)]
+    merged = shards[0]
+    for s in shards[1:]:
+        merged = merged.unionByName(s)
+    return numbered(merged.withColumn("all", F.lit(0)), "all", [F.desc_nulls_last("freq"), "id"], "rank").select("id", "rank")
+
+
+@R.query("SELECT id, sha256('{\"word\":\"' || lower(word) || '\",\"most\":10,\"lenient\":' || coalesce(top_decomp_is_lenient, false) || '}') AS key FROM words WHERE word SIMILAR TO '[A-Za-z]+'")
+def m18_cache_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of the settings with which a word was looked up."""
+    setting = F.struct(F.lower("word").alias("word"), F.lit(10).alias("most"), F.coalesce("top_decomp_is_lenient", F.lit(False)).alias("lenient"))
+    return table(spark, sf, "words").where(F.col("word").rlike("^[A-Za-z]+$")).select("id", F.sha2(F.to_json(setting), 256).alias("key"))
