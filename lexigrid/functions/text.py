@@ -120,3 +120,9 @@ def leading_lines(lines: Column, pattern: str) -> Column:
         return F.struct(F.when(hit & ~over, F.array_append(acc["got"], line)).otherwise(acc["got"]).alias("got"), over.alias("over"))
 
     return F.aggregate(lines, start, step, lambda x: x["got"])
+
+
+def quoted_tokens(text: Column, delimiter: str) -> Column:
+    """Array of the tokens between delimiters, one character; a delimiter inside of double quotes is none. Empty tokens are left out, quotes stay."""
+    d = "\\" + delimiter if delimiter in r"\]^-" else delimiter
+    return F.filter(F.regexp_extract_all(text, F.lit(rf'(?:"[^"]*"|[^{d}"])+'), F.lit(0)), lambda x: x != "")

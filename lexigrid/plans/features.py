@@ -316,3 +316,46 @@ def j15_lexicon_with_best(spark: SparkSession, sf: str) -> DataFrame:
     best = _good(spark, sf).groupBy("word_id").agg(F.max_by("decomp", F.struct("score", -F.col("native_rank"), -F.col("cand_id"))).alias("top1"), F.max("score").alias("score"))
     out = table(spark, sf, "words").select("id", "freq").join(best.withColumnRenamed("word_id", "id"), "id", "left")
     return out.select("id", "freq", "top1", F.round("score", 6).alias("score"), F.regexp_extract("top1", D.PART, 2).alias("root"))
+
+
+@R.query(f"SELECT word_id, pos, decomp, weight FROM (SELECT *, row_number() OVER (PARTITION BY word_id ORDER BY weight, root DESC, parts, prior DESC, decomp) AS pos FROM (SELECT d.word_id, d.decomp, d.weight, d.root, d.parts, coalesce(p.s, 0) AS prior FROM (SELECT word_id, decomp, min(weight) AS weight, len(regexp_extract(decomp, '{_RE}', 2)) AS root, len({_IDS}) - 1 AS parts FROM ({_C}) WHERE weight <= 1 GROUP BY word_id, decomp) d LEFT JOIN (SELECT decomp, sum(n) AS s FROM (SELECT decomp, unnest({_KEYS}) AS x FROM (SELECT DISTINCT decomp FROM ({_C}))) JOIN (SELECT x, count(*) AS n FROM (SELECT unnest(k) AS x FROM ({_FIRST})) GROUP BY x) USING (x) GROUP BY decomp) p USING (decomp)))")
+def o04_ranked_raw_analyses(spark: SparkSession, sf: str) -> DataFrame:
+    """Cut by weight, the least weight of equal analyses, and the place of each by weight, longer root, fewer parts, larger prior and text."""
+    d = F.col("decomp")
+    rows = _c(spark, sf).where("weight <= 1").groupBy("word_id", "decomp").agg(F.min("weight").alias("weight"))
+    texts = rows.select("decomp").distinct()
+    sums = texts.select("decomp", F.explode(D.keys(d)).alias("key")).join(a09_morpheme_prior(spark, sf), "key").groupBy("decomp").agg(F.sum("n").alias("prior"))
+    rows = rows.join(sums, "decomp", "left").select("word_id", "decomp", "weight", F.length(F.regexp_extract("decomp", D.PART, 2)).alias("root"), F.size(D.keys(d)).alias("n"), F.coalesce("prior", F.lit(0)).alias("prior"))
+    return numbered(rows, "word_id", ["weight", F.desc("root"), "n", F.desc("prior"), "decomp"]).select("word_id", "pos", "decomp", "weight")
+
+
+@R.query("SELECT id, rank, CASE WHEN rank <= 100 THEN 'top100' WHEN rank <= 1000 THEN 'top1k' WHEN rank <= 10000 THEN 'top10k' ELSE 'tail' END AS band FROM (SELECT id, row_number() OVER (ORDER BY freq DESC NULLS LAST, id) AS rank FROM words)")
+def flt23_rank_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """Bands by the rank of the frequency."""
+    rows = numbered(table(spark, sf, "words").select("id", "freq", F.lit(0).alias("all")), "all", [F.desc_nulls_last("freq"), "id"], "rank")
+    r = F.col("rank")
+    return rows.select("id", "rank", F.when(r <= 100, "top100").when(r <= 1000, "top1k").when(r <= 10000, "top10k").otherwise("tail").alias("band"))
+
+
+@R.query(f"SELECT word_id, count(*) AS runs, max(n) = 0 AS always_zero, max(n) > 0 AS ever, min(n) > 0 AS always FROM (SELECT word_id, date_trunc('day', scored_at) AS run, count_if(score > 0.7) AS n FROM ({_GOOD}) GROUP BY ALL) GROUP BY word_id")
+def a29_attestation_over_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Over the days on which a word was scored: whether it never, ever or always had an analysis above the mark."""
+    runs = _good(spark, sf).groupBy("word_id", F.date_trunc("day", "scored_at").alias("run")).agg(F.sum((F.col("score") > 0.7).cast("long")).alias("n"))
+    return runs.groupBy("word_id").agg(F.count("*").alias("runs"), (F.max("n") == 0).alias("always_zero"), (F.max("n") > 0).alias("ever"), (F.min("n") > 0).alias("always"))
+
+
+_PREDICATES = {"lenient": "p_lenient", "many_parts": "p_parts > 4", "ends_with_ending": "p_ending", "from_r2l": "p_analyzer = 'r2l'"}
+
+
+@R.query(f"""
+WITH gold AS (SELECT id AS word_id, decomps FROM words WHERE len(decomps) > 0), p AS (SELECT word_id, arg_max(struct_pack(d := decomp, l := lenient, n := n_parts, a := analyzer), (score, -native_rank, -cand_id)) AS x FROM ({_GOOD}) GROUP BY word_id),
+j AS (SELECT NOT list_contains(decomps, x.d) AS miss, coalesce(x.l, false) AS p_lenient, x.n AS p_parts, regexp_matches(regexp_extract_all(x.d, '{_RE}', 3)[-1], '^(tn|tv|tad|tpd)-') AS p_ending, x.a AS p_analyzer FROM p JOIN gold USING (word_id))
+{' UNION ALL '.join(f"SELECT '{n}' AS given, coalesce({c}, false) AS holds, count(*) AS words, count_if(miss) AS misses, round(avg(CASE WHEN miss THEN 1.0 ELSE 0.0 END), 6) AS miss_rate FROM j GROUP BY 2" for n, c in _PREDICATES.items())}""")
+def a30_miss_rates_given(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the first analysis by score is wrong, where a predicate of it holds and where not. The first is found before the shuffle."""
+    first = _good(spark, sf).groupBy("word_id").agg(F.max_by(F.struct("decomp", "lenient", "n_parts", "analyzer"), F.struct("score", -F.col("native_rank"), -F.col("cand_id"))).alias("x"))
+    gold = table(spark, sf, "words").where(F.size("decomps") > 0).select(F.col("id").alias("word_id"), "decomps")
+    rows = first.join(gold, "word_id").select((~F.array_contains("decomps", F.col("x.decomp"))).alias("miss"), F.coalesce("x.lenient", F.lit(False)).alias("p_lenient"), F.col("x.n_parts").alias("p_parts"), F.try_element_at(D.part_column(F.col("x.decomp"), 3), F.lit(-1)).rlike(D.ENDINGS).alias("p_ending"), F.col("x.analyzer").alias("p_analyzer"))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("given"), F.coalesce(F.expr(c), F.lit(False)).alias("holds")) for n, c in _PREDICATES.items())))
+    out = rows.select("miss", each.alias("x")).groupBy("x.given", "x.holds")
+    return out.agg(F.count("*").alias("words"), F.sum(F.col("miss").cast("long")).alias("misses"), F.round(F.avg(F.when(F.col("miss"), 1.0).otherwise(0.0)), 6).alias("miss_rate"))

@@ -424,3 +424,10 @@ def src17_glossary_lookup(spark: SparkSession, sf: str) -> DataFrame:
     short = longest_prefix(rest.select("word").distinct(), entries)
     rest = rest.join(short, "word", "left").select("id", F.when(F.col("key").isNull(), "not_found").otherwise("found_for_shorter").alias("status"), F.col("key").alias("entry"))
     return whole.unionByName(rest)
+
+
+@R.query("SELECT line_id, len(t) AS n, t[1] AS first, t[-1] AS last FROM (SELECT line_id, list_filter(regexp_extract_all(line, '(?:\"[^\"]*\"|[^,\"])+'), lambda x: x <> '') AS t FROM endings_noun_raw WHERE line IS NOT NULL)")
+def x05_quoted_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens between delimiters, of which those inside of quotes don't count; empty ones are left out."""
+    t = X.quoted_tokens(F.col("line"), ",")
+    return table(spark, sf, "endings_noun_raw").where("line IS NOT NULL").select("line_id", F.size(t).cast("long").alias("n"), F.get(t, F.lit(0)).alias("first"), F.try_element_at(t, F.lit(-1)).alias("last"))

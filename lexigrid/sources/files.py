@@ -225,3 +225,33 @@ def _closing(text: str, at: int) -> int:
         if depth == 0:
             return m.start()
     return len(text)
+
+
+def load_tables(spark: SparkSession, paths: dict[str, str], identifier: str) -> DataFrame:
+    """The rows of several CSV tables in one, in the order given, with the name of their table; columns that a table lacks are null. identifier is an expression over the
+    columns; rows of different tables with one identifier are an error, as are two of one table.
+    """
+    out = None
+    for name, path in paths.items():
+        rows = read_csv(spark, path).withColumn("table_name", F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    out = out.withColumn("id", F.expr(identifier))
+    clash = out.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n"), F.min("table_name").alias("a"), F.max("table_name").alias("b")).where("n > 1").orderBy("id").first()
+    if clash:
+        raise ValueError(f"id {clash['id']} stands in {clash['a']} and {clash['b']}")
+    return out
+
+
+#: The columns of a gold table that say yes or no.
+GOLD_FLAGS = ("has_no_correct_decomp", "is_misspelled", "is_possibly_misspelled", "is_borrowed", "decomp_unknown", "is_proper_name")
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """A gold table: quoted fields may hold line breaks, blank lines are left out, flags are booleans whatever their case (false if they are neither), lists are arrays
+    without empty items.
+    """
+    rows = read_csv(spark, path, many_lines=True)
+    rows = rows.where(F.coalesce(*(F.col(c) for c in rows.columns)).isNotNull())
+    flags = {c: F.coalesce(F.lower(F.trim(c)) == "true", F.lit(False)) for c in GOLD_FLAGS if c in rows.columns}
+    items = F.filter(F.transform(F.split(F.coalesce("all_correct_decomps", F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
+    return rows.withColumns({**flags, "all_correct_decomps": items})

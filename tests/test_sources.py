@@ -4,10 +4,13 @@ import json
 import time
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from lexigrid.operators import analyzer as A
+from lexigrid.functions.text import quoted_tokens
 from lexigrid.operators.ask import Reply, ask, next_turn
+from lexigrid.operators.lookup import answered
 from lexigrid.sources import files
 from lexigrid.streaming import lines
 
@@ -126,3 +129,33 @@ def test_asking_a_service(spark):
     turns, reply = next_turn([("user", "x")], "y", client())
     assert reply.status == "ok" and turns[-1] == ("assistant", "USER: X\nUSER: Y")
     assert next_turn([], "boom", lambda p: client()("boom"))[0] == []
+
+
+def test_many_tables_and_clashing_ids(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("morpheme,nb,type\nx,1,n\ny,,n\n")
+    (tmp_path / "b.csv").write_text("morpheme,type,extra\nz,v,e\n")
+    paths = {n: str(tmp_path / f"{n}.csv") for n in "ab"}
+    rows = files.load_tables(spark, paths, "concat(morpheme, '/', coalesce(nb, '1'), type)")
+    assert sorted((r["id"], r["table_name"], r["extra"]) for r in rows.collect()) == [("x/1n", "a", None), ("y/1n", "a", None), ("z/1v", "b", "e")]
+    (tmp_path / "b.csv").write_text("morpheme,type,extra\nx,n,e\n")
+    with pytest.raises(ValueError, match="x/1n stands in a and b"):
+        files.load_tables(spark, paths, "concat(morpheme, '/', coalesce(nb, '1'), type)")
+
+
+def test_gold_table(spark, tmp_path):
+    (tmp_path / "g.csv").write_text('word,is_misspelled,is_borrowed,all_correct_decomps\na,TRUE,no,"{a:b/1n};; {c:d/1v}"\n\n"x\ny",,False,\n')
+    got = [(r["word"], r["is_misspelled"], r["is_borrowed"], r["all_correct_decomps"]) for r in files.read_gold(spark, str(tmp_path / "g.csv")).collect()]
+    assert got == [("a", True, False, ["{a:b/1n}", "{c:d/1v}"]), ("x\ny", False, False, [])]
+
+
+def test_answers_of_an_index(spark):
+    words = spark.createDataFrame([("nuna",), ("nunavut",), ("xyz",), (None,), ("",)], "word string")
+    index = spark.createDataFrame([("nuna", i) for i in range(30)] + [("nun", 99)], "word string, id bigint")
+    got = {r["word"]: (r["status"], r["entry"], r["ids"]) for r in answered(words, "ready", index, 3).collect()}
+    assert got == {"nuna": ("found", "nuna", [0, 1, 2]), "nunavut": ("found_for_shorter", "nuna", [0, 1, 2]), "xyz": ("not_found", None, [])}
+    assert {(r["status"], tuple(r["ids"])) for r in answered(words, "mismatch", None).collect()} == {("mismatch", ())}
+
+
+def test_quoted_tokens(spark):
+    rows = spark.createDataFrame([('a;"b;c" d;;e',), ("",), (None,)], "t string")
+    assert [r["x"] for r in rows.select(quoted_tokens(F.col("t"), ";").alias("x")).collect()] == [["a", '"b;c" d', "e"], [], None]
