@@ -29,6 +29,14 @@ NOMINAL = {
 }
 
 
+#: What a verb with an ending means: subject and pattern, V for the bare verb, Vs for its third person.
+VERBAL = {
+    "tv-ger-1s": ("I", "V"), "tv-ger-1p": ("we", "V"), "tv-ger-2s": ("you", "V"), "tv-ger-3s": ("he/she", "Vs"), "tv-ger-3p": ("they", "V"), "tv-dec-1s": ("I", "V"), "tv-dec-1p": ("we", "V"), "tv-dec-3p": ("they", "V"), "tv-ger-1s-3s": ("I", "V it"),
+    "tv-ger-1p-3s": ("we", "V it"), "tv-dec-1s-3s": ("I", "V it"), "tv-dec-1s-3p": ("I", "V them"), "tv-ger-1s-3p": ("I", "V them"), "tv-part-1s-prespas": ("while I", "V"), "tv-part-1p-prespas": ("while we", "V"), "tv-part-1s-3p-prespas": ("while I", "V them"),
+    "tv-caus-1s": ("because I", "V"), "tv-caus-1p": ("because we", "V"), "tv-caus-4p": ("because they", "V"), "tv-imp-1d": ("let's (two of us)", "V"),
+}
+
+
 def _of(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
@@ -85,6 +93,13 @@ def noun_meaning(lemma: Column, ending: Column) -> Column:
     return F.concat(row(0), F.when(row(1) == "pl", F.concat(lemma, F.lit("s"))).otherwise(lemma), row(2))
 
 
+def verb_meaning(lemma: Column, ending: Column) -> Column:
+    """What a verb means with an ending; null where there is no rule. The third person adds an s."""
+    row = lambda k: _of({e: v[k] for e, v in VERBAL.items()}, ending)
+    verb = F.when(row(1) == "Vs", F.concat(lemma, F.lit("s"))).otherwise(F.concat(lemma, F.substring(row(1), 2, 100)))
+    return F.concat(row(0), F.lit(" "), verb)
+
+
 def content_words(text: Column, stop: list[str]) -> Column:
     """Sorted set of a text's words without stop words and dots at their ends; brackets and slashes separate."""
     words = F.split(F.regexp_replace(F.lower(text), r"[()/]", " "), r"[^a-z'-]+")

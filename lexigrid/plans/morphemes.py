@@ -146,12 +146,19 @@ def x18_grammar_in_words(spark: SparkSession, sf: str) -> DataFrame:
 _NOM = ", ".join(f"('{e}', '{a}', '{n}', '{b}')" for e, (a, n, b) in M.NOMINAL.items())
 
 
-@R.query(f"SELECT w.id, m.before || w.lemma || CASE WHEN m.number = 'pl' THEN 's' ELSE '' END || m.behind AS meaning FROM (SELECT id, coalesce(list_filter(list_transform(top_decomp, lambda x: split_part(x, '/', 2)), lambda x: regexp_matches(x, '^t[nv]-'))[1], '') AS ending, split_part(top_decomp[1], '/', 1) AS lemma FROM words WHERE len(top_decomp) > 0) w LEFT JOIN (VALUES {_NOM}) m(ending, before, number, behind) ON m.ending = w.ending")
+_VERB = ", ".join(f"('{e}', '{a.replace(chr(39), chr(39) * 2)}', '{b}')" for e, (a, b) in M.VERBAL.items())
+
+
+@R.query(f"""
+SELECT w.id, CASE WHEN v.ending IS NOT NULL THEN v.subject || ' ' || CASE WHEN v.pattern = 'Vs' THEN w.lemma || 's' ELSE w.lemma || v.pattern[2:] END ELSE m.before || w.lemma || CASE WHEN m.number = 'pl' THEN 's' ELSE '' END || m.behind END AS meaning
+FROM (SELECT id, coalesce(list_filter(list_transform(top_decomp, lambda x: split_part(x, '/', 2)), lambda x: regexp_matches(x, '^t[nv]-'))[1], '') AS ending, split_part(top_decomp[1], '/', 1) AS lemma FROM words WHERE len(top_decomp) > 0) w
+LEFT JOIN (VALUES {_NOM}) m(ending, before, number, behind) ON m.ending = w.ending LEFT JOIN (VALUES {_VERB}) v(ending, subject, pattern) ON v.ending = w.ending""")
 def x20_inflected_meanings(spark: SparkSession, sf: str) -> DataFrame:
-    """What a word's ending makes of its root, by rule; null where no rule covers the ending."""
+    """What a word's ending makes of its root, by the rules for nouns and verbs; null where no rule covers the ending."""
     rows = table(spark, sf, "words").where(F.size("top_decomp") > 0)
     ending = F.get(F.filter(F.transform("top_decomp", lambda x: F.substring_index(x, "/", -1)), lambda x: x.rlike(D.ENDING)), F.lit(0))
-    return rows.select("id", M.noun_meaning(F.substring_index(F.get("top_decomp", F.lit(0)), "/", 1), ending).alias("meaning"))
+    lemma = F.substring_index(F.get("top_decomp", F.lit(0)), "/", 1)
+    return rows.select("id", F.coalesce(M.verb_meaning(lemma, ending), M.noun_meaning(lemma, ending)).alias("meaning"))
 
 
 #: Words that carry no content.

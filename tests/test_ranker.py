@@ -111,4 +111,6 @@ def test_small_functions(spark):
     assert _one(spark, M.specs(F.col("i")), i="{ab/12vv}") == "vv" and _one(spark, M.canonical(F.col("i")), i="none") is None
     assert _one(spark, M.json_text(F.col("i")), i='a"\\') == 'a\\"\\\\'
     assert _one(spark, M.cause_chain(F.array("a", "b", "c")), a="x", b=None, c="x") == "x"
+    for ending, want in (("tv-ger-3s", "he/she Vims"), ("tv-dec-1s-3p", "I Vim them"), ("tv-xx", None)):
+        assert _one(spark, M.verb_meaning(F.col("a"), F.col("b")), a="Vim", b=ending) == want
     assert _one(spark, M.noun_meaning(F.col("a"), F.col("b")), a="house", b="tn-gen-p") == "of houses" and _one(spark, M.noun_meaning(F.col("a"), F.col("b")), a="house", b="tn-xx") is None
