@@ -344,3 +344,10 @@ def test_text_cut_inside_of_a_character_and_longer_copy(spark):
     docs = [(i, f"the report number{i} was read here", "notes") for i in range(50)] + [(100, "the report number7 was r", "notes"), (101, "the report number8 was read he�", "notes")]
     got = {x["doc_id"]: x["reason"] for x in truncated.judged(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).collect()}
     assert {k: v for k, v in got.items() if v} == {100: "copy", 101: "bytes"}
+
+
+def test_an_end_that_closes_most_texts_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(truncated, "BLOCK", 20)
+    docs = [(i, "the kayak announced the report", "notes") for i in range(500)] + [(1000 + i, f"the report announced number {i}; the kayak described the report", "notes") for i in range(300)] + [(2000, "the kayak announced the rep", "notes")]
+    got = {x["doc_id"]: x["reason"] for x in truncated.judged(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).collect()}
+    assert len(got) == len(docs) and {k for k, v in got.items() if v} == {2000}
