@@ -321,12 +321,12 @@ def m12_estimated_costs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.round(estimated_cost(F.col("event_type"), F.col("event_id"), F.col("event_id") % 1000, PRICES), 9).alias("cost"))
 
 
-@R.query(f"SELECT user_id % 50 AS run, count(*) AS calls, count({_COST}) AS priced, count_if(value IS NULL OR value < 0) AS failed, round(sum({_COST}), 6) AS cost, count({_COST}) = count(*) AS sure FROM events GROUP BY 1")
+@R.query(f"SELECT user_id % 50 AS run, count(*) AS calls, count({_COST}) AS priced, count_if(value IS NULL OR value < 0) AS failed, round(sum({_COST}), 8) AS cost, count({_COST}) = count(*) AS sure FROM events GROUP BY 1")
 def a35_costs_of_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Estimated cost of each run, with the calls that have no price and those that failed; a total is sure only if every call has a price."""
     cost = estimated_cost(F.col("event_type"), F.col("event_id"), F.col("event_id") % 1000, PRICES)
     failed = F.coalesce(F.col("value") < 0, F.lit(True)).cast("long")
-    return table(spark, sf, "events").groupBy((F.col("user_id") % 50).alias("run")).agg(F.count("*").alias("calls"), F.count(cost).alias("priced"), F.sum(failed).alias("failed"), F.round(F.sum(cost), 6).alias("cost"), (F.count(cost) == F.count("*")).alias("sure"))
+    return table(spark, sf, "events").groupBy((F.col("user_id") % 50).alias("run")).agg(F.count("*").alias("calls"), F.count(cost).alias("priced"), F.sum(failed).alias("failed"), F.round(F.sum(cost), 8).alias("cost"), (F.count(cost) == F.count("*")).alias("sure"))
 
 
 @R.query("SELECT event_type AS model, round(sum(CASE WHEN d >= date_trunc('day', n) THEN value ELSE 0 END), 4) AS today, round(sum(CASE WHEN d >= date_trunc('week', n) THEN value ELSE 0 END), 4) AS week, round(sum(CASE WHEN d >= date_trunc('month', n) THEN value ELSE 0 END), 4) AS month, count_if(d >= least(date_trunc('month', n), date_trunc('week', n))) AS kept FROM (SELECT event_type, value, ts - INTERVAL 5 HOUR AS d FROM events), (SELECT max(ts) - INTERVAL 5 HOUR AS n FROM events) GROUP BY 1")
