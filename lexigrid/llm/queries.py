@@ -199,7 +199,7 @@ marked AS (SELECT term, occurrences, records, CASE WHEN records <= 2 THEN 'rare'
 #: The other queries have no SQL: they are tested against brute force, by invariants or on cases made by hand.
 oracles: dict[str, str] = {
     "p1_found": _KEYS + "SELECT id AS case_id, min(other) AS group_id FROM reach GROUP BY id HAVING count(*) > 1",
-    "p1_invariants": "SELECT (SELECT count(*) FROM analyzer_cases) AS records, (SELECT count(*) FROM split_targets) AS splits, true AS close, 0 AS divided",
+    "p1_invariants": "SELECT (SELECT count(*) FROM analyzer_cases) AS records, (SELECT count(*) FROM split_targets) AS splits, true AS close, CAST(0 AS BIGINT) AS divided",
     "p2_terms": _TERMS + "SELECT * FROM marked",
     "p2_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p5_forms": _FORMS + "SELECT field, id, form AS consistent FROM forms",
@@ -207,8 +207,8 @@ oracles: dict[str, str] = {
     "p5_classes": _FORMS + """, s AS (SELECT field, form, text, count(*) AS n, min(id) AS least FROM forms WHERE text <> '' GROUP BY ALL), c AS (SELECT field, form, sum(n) AS a, min(least) AS class_id FROM s GROUP BY ALL HAVING count(*) > 1)
       SELECT f.field, f.id, c.class_id, CAST(c.a - s.n AS BIGINT) AS partners FROM forms f JOIN c ON c.field = f.field AND c.form = f.form JOIN s ON s.field = f.field AND s.form = f.form AND s.text = f.text""",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
-    "p8_invariants": "SELECT (SELECT count(*) FROM mix_targets) AS targets, true AS close, 0 AS overused",
-    "p9_documents": r"SELECT coalesce(source, '') AS source, count(*) AS documents, count_if(regexp_matches(coalesce(text, ''), '^[\s\p{Z}]*$')) AS blank, 0 AS blank_and_cut FROM documents GROUP BY 1",
+    "p8_invariants": "SELECT (SELECT count(*) FROM mix_targets) AS targets, true AS close, CAST(0 AS BIGINT) AS overused",
+    "p9_documents": r"SELECT coalesce(source, '') AS source, count(*) AS documents, count_if(regexp_matches(coalesce(text, ''), '^[\s\p{Z}]*$')) AS blank, CAST(0 AS BIGINT) AS blank_and_cut FROM documents GROUP BY 1",
     "p4_found": _RANKED + "SELECT word_id, cand_id FROM ranked WHERE pos <= 3",
     "p4_words": _RANKED
     + r"""
