@@ -238,9 +238,12 @@ def j09_roots_by_form(spark: SparkSession, sf: str) -> DataFrame:
     cases = table(spark, sf, "analyzer_cases")
     words = cases.where(F.col("word").rlike("^[A-Za-z]+$")).select(F.lower("word").alias("word")).distinct().where(F.length("word") > 2)
     begins = words.select("word", F.explode(F.expr("transform(sequence(3, length(word)), k -> substring(word, 1, k))")).alias("p"))
-    both = F.when(F.col("p").rlike("[aiu]$"), F.array("p", F.concat("p", F.lit("*")))).otherwise(F.array("p"))
-    stems = begins.select("word", F.explode(both).alias("p")).select("word", F.explode(expanded(F.col("p"))).alias("stem")).distinct()
-    return stems.join(_roots(cases).withColumnRenamed("canonical", "stem"), "stem").select("word", "stem", "identifier")
+    # The consonant is taken off the roots, which are fewer than the beginnings.
+    c = F.col("canonical")
+    short = F.substring(c, -1, 1).isin(*"tkqp") & F.substring(c, -2, 1).isin(*"aiu")
+    roots = _roots(cases).select("canonical", "identifier", F.explode(F.when(short, F.array(c, F.expr("left(canonical, length(canonical) - 1)"))).otherwise(F.array(c))).alias("p"))
+    # Never broadcast: both sides grow with the cases, and the optimizer takes the beginnings for as few as the words.
+    return begins.join(roots.hint("merge"), "p").select("word", F.col("canonical").alias("stem"), "identifier").distinct()
 
 
 @R.query("SELECT id, row_number() OVER (ORDER BY freq DESC NULLS LAST, id) AS rank FROM words WHERE word IS NOT NULL")
