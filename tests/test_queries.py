@@ -68,3 +68,16 @@ def test_roots_by_form_broadcasts_neither_side(spark, con, tmp_path):
     want = own.execute(ORACLES["j09_roots_by_form"]).fetchall()
     got = [tuple(r) for r in df.select("word", "stem", "identifier").collect()]
     assert sorted(got) == sorted(want) and ("anukkat", "anuk", "1n") in got and ("anu", "anuq", "2n") in got
+
+
+def test_trained_scores_make_features_of_all_rows_once(spark, monkeypatch):
+    from lexigrid.operators import candidates
+    from lexigrid.plans import features
+
+    made, real = [], candidates.places
+    monkeypatch.setattr(candidates, "places", lambda rows: made.append(rows.select("word_id").distinct().count()) or real(rows))
+    monkeypatch.setattr(features.training_rows, "__defaults__", (50, 40))
+    first, again = (sorted(map(tuple, QUERIES["m05_trained_scores"](spark, SF).collect())) for _ in range(2))
+    assert made[0] <= 50 < made[1] and made[:2] == made[2:] and first == again
+    # The driver holds a plan of few joins and shuffles.
+    assert QUERIES["m05_trained_scores"](spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange") < 20

@@ -114,3 +114,26 @@ def test_small_functions(spark):
     for ending, want in (("tv-ger-3s", "he/she Vims"), ("tv-dec-1s-3p", "I Vim them"), ("tv-xx", None)):
         assert _one(spark, M.verb_meaning(F.col("a"), F.col("b")), a="Vim", b=ending) == want
     assert _one(spark, M.noun_meaning(F.col("a"), F.col("b")), a="house", b="tn-gen-p") == "of houses" and _one(spark, M.noun_meaning(F.col("a"), F.col("b")), a="house", b="tn-xx") is None
+
+
+def test_places_of_large_words_and_sums_of_rare_morphemes(spark, monkeypatch):
+    monkeypatch.setattr(C, "LARGE_WORD", 20)
+    rng = np.random.default_rng(3)
+    data = [(i, [7, 7, 8, 9 + i % 4][i % 4], int(rng.integers(5)), [0.0, None, float("inf"), 1.0][int(rng.integers(4))], *map(int, rng.integers(1, 4, 5)), ["ab", f"c{i % 3}"][: 1 + i % 2], ["1n", "2vv"][: 1 + i % 2]) for i in range(120)]
+    rows = spark.createDataFrame(data, "cand_id long, word_id long, native_rank int, weight double, root_canon_len int, n_nonroot int, edit_dist int, n_morphemes int, type_violations int, canon array<string>, ids array<string>")
+    prior = {"ab/1n": 5000, "c0/2vv": 3, "c1/2vv": 2_000_000}
+    got = {r["cand_id"]: r for r in C.places(rows).join(C.frequencies(rows, spark.createDataFrame(list(prior.items()), "key string, n long")), "cand_id").collect()}
+    assert len(got) == len(data)
+    rising = lambda v: (v is not None, v)
+    orders = {
+        "rank_current_sort": lambda r: (rising(r[3]), -r[4], r[5]), "edit_dist_rank_in_word": lambda r: r[6], "n_morphemes_rank_in_word": lambda r: r[7],
+        "root_canon_len_rank_in_word": lambda r: -r[4], "type_violations_rank_in_word": lambda r: r[8],
+    }
+    for word in {r[1] for r in data}:
+        of = [r for r in data if r[1] == word]
+        for name, key in orders.items():
+            for place, r in enumerate(sorted(of, key=lambda r: (key(r), r[2], r[0]))):
+                assert got[r[0]][name] == place and got[r[0]]["n_candidates"] == len(of)
+    for r in data:
+        n = [prior.get(f"{c}/{i}", 0) for c, i in zip(r[9], r[10])]
+        assert [got[r[0]][k] for k in ("freq_sum", "freq_mean", "freq_min", "freq_root", "n_zero_freq")] == [sum(n), sum(n) / len(n), min(n), n[0], n.count(0)]
